@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, url_filter
+from . import fm, quality_rules, toxicity, url_filter
 from .common import read
 
 
@@ -22,5 +22,18 @@ def op6_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, outcomes)
 
 
-QUERIES = {"op1_robust_outliers": op1_robust_outliers, "op6_host_reputation": op6_host_reputation}
+def op4_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op7_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    "op1_robust_outliers": op1_robust_outliers,
+    "op4_ordinal_toxicity": op4_ordinal_toxicity,
+    "op6_host_reputation": op6_host_reputation,
+    "op7_factorisation_machine": op7_factorisation_machine,
+}
 ORACLES: dict[str, str] = {}
