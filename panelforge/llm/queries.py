@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fm, quality_rules, toxicity, url_filter
+from . import decontam, fm, quality_rules, toxicity, url_filter
 from .common import read
 
 
@@ -30,10 +30,15 @@ def op7_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op8_seed_and_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_robust_outliers": op1_robust_outliers,
     "op4_ordinal_toxicity": op4_ordinal_toxicity,
     "op6_host_reputation": op6_host_reputation,
     "op7_factorisation_machine": op7_factorisation_machine,
+    "op8_seed_and_align": op8_seed_and_align,
 }
 ORACLES: dict[str, str] = {}

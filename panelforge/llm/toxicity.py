@@ -49,13 +49,19 @@ class Ordinal:
         return 1 / (1 + np.exp(np.clip(self.thetas[None, :] - eta[:, None], -40, 40)))
 
 
-def train(grade: np.ndarray, bounds: np.ndarray, keys: np.ndarray, least: int = 4, l1: float = 1e-4, rate: float = 0.3, epochs: int = 15, batch: int = 256, seed: int = 7) -> Ordinal:
-    """AdaGrad with soft thresholds on the mean log-likelihood; features of fewer than ``least`` rows have no weight."""
+def train(grade: np.ndarray, bounds: np.ndarray, keys: np.ndarray, least: int = 4, z: float = 4.5, l1: float = 1e-4, rate: float = 0.3, epochs: int = 20, batch: int = 256, seed: int = 7) -> Ordinal:
+    """AdaGrad with soft thresholds on the mean log-likelihood.
+
+    Only features of at least ``least`` rows whose share of rows above grade 0 lies ``z``
+    standard errors from the overall share get a weight; the rest are noise of rare words.
+    """
     top = int(grade.max(initial=0))
     if not len(grade) or top == 0:
         return Ordinal(np.zeros(0, np.int32), np.zeros(0), np.full(max(top, 1), 40.0))
     used, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
-    keep = (counts >= least) & (counts <= 0.5 * len(grade))
+    share = np.clip((grade > 0).mean(), 1e-6, 1 - 1e-6)
+    hits = np.bincount(inverse, np.repeat((grade > 0).astype(float), np.diff(bounds)), len(used))
+    keep = (counts >= least) & (np.abs(hits - counts * share) >= z * np.sqrt(counts * share * (1 - share)))
     at = keep[inverse]
     cols = (np.cumsum(keep) - 1)[inverse[at]]
     b = np.concatenate(([0], np.cumsum(at)))[bounds]
@@ -106,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 12000, **options) -> Ord
     return train(y.astype(np.int64) if column == "grade" else grade_by_marks(y, bounds, keys), bounds, keys, **options)
 
 
-def score(docs: DataFrame, model: Ordinal, threshold: float = 0.3) -> DataFrame:
+def score(docs: DataFrame, model: Ordinal, threshold: float = 0.2) -> DataFrame:
     """doc_id, expected severity, P(grade >= 1) and whether that reaches ``threshold``."""
 
     def each(batches):
