@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fm, quality_rules, toxicity, url_filter
+from . import bpe, decontam, fm, quality_rules, toxicity, url_filter
 from .common import read
 
 
@@ -26,6 +26,10 @@ def op4_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op5_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(read(spark, sf_dir, "documents"))
+
+
 def op7_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -37,6 +41,7 @@ def op8_seed_and_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_robust_outliers": op1_robust_outliers,
     "op4_ordinal_toxicity": op4_ordinal_toxicity,
+    "op5_chunk_reuse": op5_chunk_reuse,
     "op6_host_reputation": op6_host_reputation,
     "op7_factorisation_machine": op7_factorisation_machine,
     "op8_seed_and_align": op8_seed_and_align,
