@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, fm, quality_rules, toxicity, url_filter
+from . import bpe, decontam, fm, html_extract, quality_rules, toxicity, url_filter
 from .common import read
 
 
@@ -22,6 +22,10 @@ def op6_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, outcomes)
 
 
+def op3_template_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read(spark, sf_dir, "pages"))
+
+
 def op4_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -40,6 +44,7 @@ def op8_seed_and_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_robust_outliers": op1_robust_outliers,
+    "op3_template_classes": op3_template_classes,
     "op4_ordinal_toxicity": op4_ordinal_toxicity,
     "op5_chunk_reuse": op5_chunk_reuse,
     "op6_host_reputation": op6_host_reputation,
