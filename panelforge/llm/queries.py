@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, fm, html_extract, quality_rules, toxicity, url_filter
+from . import bpe, decontam, fm, html_extract, near_dup, quality_rules, toxicity, url_filter
 from .common import read
 
 
@@ -42,6 +42,10 @@ def op8_seed_and_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_robust_outliers": op1_robust_outliers,
     "op3_template_classes": op3_template_classes,
@@ -50,5 +54,25 @@ QUERIES = {
     "op6_host_reputation": op6_host_reputation,
     "op7_factorisation_machine": op7_factorisation_machine,
     "op8_seed_and_align": op8_seed_and_align,
+    "op9_near_dedup": op9_near_dedup,
 }
-ORACLES: dict[str, str] = {}
+_WORDS = "list_filter(regexp_split_to_array({text}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP9_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(text=_LOWER)} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+      ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s FROM w),
+c AS (SELECT s, min(doc_id) AS rep, len(s) AS n FROM (SELECT doc_id, list_sort(s) AS s FROM s WHERE len(s) > 0) GROUP BY s),
+e AS (SELECT rep, n, unnest(s) AS g FROM c),
+p AS (SELECT a.rep AS u, b.rep AS v FROM e a JOIN e b ON a.g = b.g AND a.rep < b.rep
+      GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+b AS (SELECT u, v FROM p UNION SELECT v, u FROM p),
+r AS (SELECT rep AS node, rep AS seen FROM c UNION SELECT r.node, b.v FROM r JOIN b ON r.seen = b.u),
+k AS (SELECT node, min(seen) AS component FROM r GROUP BY node)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(k.component, s.doc_id) AS component_id,
+       coalesce(k.component, s.doc_id) = s.doc_id AS kept
+FROM s LEFT JOIN c ON list_sort(s.s) = c.s LEFT JOIN k ON k.node = c.rep
+"""
+
+ORACLES: dict[str, str] = {"op9_near_dedup": OP9_SQL}

@@ -105,7 +105,7 @@ def grade_by_marks(toxic: np.ndarray, bounds: np.ndarray, keys: np.ndarray, top:
     return grade
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 12000, **options) -> Ordinal:
+def fit(docs: DataFrame, labels: DataFrame, most: int = 9000, **options) -> Ordinal:
     column = "grade" if "grade" in labels.columns else "toxic"
     chosen = labelled_sample(docs, labels.where(F.col(column).isNotNull()).select("doc_id", column), most)
     _, y, bounds, keys, _ = collect_features(chosen, column, BITS, PREFIXES, with_dense=False)
