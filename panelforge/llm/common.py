@@ -230,13 +230,31 @@ def by_bucket(hashes: np.ndarray, bits: int):
         yield int(of[a]), slice(int(a), int(b))
 
 
+def _blocked(docs: DataFrame, block: Column) -> DataFrame:
+    # As many partitions as other exchanges have: what is joined by block is dealt alike.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return docs.withColumn("_block", block.cast("int")).repartition(parts, "_block")
+
+
 def in_blocks(docs: DataFrame, n_blocks: int, key: str = "doc_id") -> DataFrame:
-    """``docs`` with a column ``_block``, all rows of a block in one partition.
+    """``docs`` with a column ``_block`` by a hash of the key, all rows of a block in one
+    partition; two uses of the result in one query share one exchange."""
+    return _blocked(docs, F.pmod(F.xxhash64(F.col(key), F.lit(77)), F.lit(n_blocks)))
+
+
+def in_ranges(docs: DataFrame, n_blocks: int, key: str = "doc_id") -> DataFrame:
+    """The same with blocks that are ranges of the key: a key of an earlier block is smaller.
 
-    The number of partitions is that of the session's shuffles, or less if there are
-    fewer blocks; two uses of the result in one query share one exchange.
+    Null keys stand in the first block.  The driver holds one boundary a block.
     """
-    spark = docs.sparkSession
-    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), n_blocks)
-    block = F.pmod(F.xxhash64(F.col(key), F.lit(77)), F.lit(n_blocks)).cast("int")
-    return docs.withColumn("_block", block).repartition(max(1, parts), "_block")
+    if n_blocks < 2:
+        return _blocked(docs, F.lit(0))
+    at = docs.select(F.col(key).cast("double").alias("k")).approxQuantile("k", [i / n_blocks for i in range(1, n_blocks)], min(0.05, 0.1 / n_blocks))
+    edges = sorted(set(at))
+    if not edges:
+        return _blocked(docs, F.lit(0))
+    from pyspark.ml.feature import Bucketizer
+
+    cut = Bucketizer(splits=[-math.inf, *edges, math.inf], inputCol="_key", outputCol="_range")
+    found = cut.transform(docs.withColumn("_key", F.coalesce(F.col(key).cast("double"), F.lit(-1e300))))
+    return _blocked(found.drop("_key"), F.col("_range")).drop("_range")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, fm, html_extract, near_dup, quality_rules, toxicity, url_filter
+from . import bpe, decontam, fm, html_extract, near_dup, quality_rules, substring_dedup, toxicity, url_filter
 from .common import read
 
 
@@ -22,6 +22,10 @@ def op6_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, outcomes)
 
 
+def op2_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(read(spark, sf_dir, "documents"))
+
+
 def op3_template_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(read(spark, sf_dir, "pages"))
 
@@ -48,6 +52,7 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_robust_outliers": op1_robust_outliers,
+    "op2_phrase_automata": op2_phrase_automata,
     "op3_template_classes": op3_template_classes,
     "op4_ordinal_toxicity": op4_ordinal_toxicity,
     "op5_chunk_reuse": op5_chunk_reuse,
@@ -75,4 +80,17 @@ SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(k.component, s.doc_id)
 FROM s LEFT JOIN c ON list_sort(s.s) = c.s LEFT JOIN k ON k.node = c.rep
 """
 
-ORACLES: dict[str, str] = {"op9_near_dedup": OP9_SQL}
+OP2_SQL = f"""
+WITH w AS (SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS w FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM w WHERE len(w) >= 13),
+h AS (SELECT doc_id, i, array_to_string(w[i:i+12], ' ') AS g FROM g),
+m AS (SELECT g, min(doc_id) AS low FROM h GROUP BY g),
+r AS (SELECT DISTINCT h.doc_id, unnest(range(h.i, h.i + 13)) AS p FROM h JOIN m ON h.g = m.g AND h.doc_id > m.low),
+a AS (SELECT doc_id, list(p) AS p FROM r GROUP BY doc_id),
+x AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS t FROM w),
+k AS (SELECT x.doc_id, string_agg(x.t, ' ' ORDER BY x.i) AS kept FROM x ANTI JOIN r ON x.doc_id = r.doc_id AND x.i = r.p GROUP BY x.doc_id)
+SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(len(a.p), 0)::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM w LEFT JOIN a ON a.doc_id = w.doc_id LEFT JOIN k ON k.doc_id = w.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op2_phrase_automata": OP2_SQL, "op9_near_dedup": OP9_SQL}
