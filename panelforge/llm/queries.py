@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, fm, html_extract, near_dup, quality_rules, substring_dedup, toxicity, url_filter
+from . import bpe, decontam, fm, html_extract, lm, near_dup, quality_rules, substring_dedup, toxicity, url_filter
 from .common import read
 
 
@@ -50,6 +50,10 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op10_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_robust_outliers": op1_robust_outliers,
     "op2_phrase_automata": op2_phrase_automata,
@@ -60,6 +64,7 @@ QUERIES = {
     "op7_factorisation_machine": op7_factorisation_machine,
     "op8_seed_and_align": op8_seed_and_align,
     "op9_near_dedup": op9_near_dedup,
+    "op10_deleted_interpolation": op10_deleted_interpolation,
 }
 _WORDS = "list_filter(regexp_split_to_array({text}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
