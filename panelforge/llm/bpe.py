@@ -2,10 +2,14 @@
 
 A text is cut before single spaces where a rolling hash of the words on both sides
 says so, about every 32 words, so equal passages are cut alike in every document.
-Each distinct chunk is encoded and decoded once per task (a bounded memo).  Every join
-of two chunks is checked: the words on both sides are encoded together and must give
-the tokens the chunks give there.  A join that does not agree is repaired by encoding
-the two chunks as one, and again with the next, until it does.
+Each distinct chunk is encoded and decoded once per task (a bounded memo).  Every kind
+of join (two bytes before it, three after) is tried out: the words on both sides are
+encoded together by the tokenizer and must give the tokens that both chunks have there.
+A text with a join of a kind that fails is repaired: pieces are merged over the joins
+and encoded as one, and again with the next, until all agree.
+
+The tokenizer's own library encodes what is rare; plain Latin text goes through the
+same vocabulary in a faster library, which the joins hold against the first.
 
 Texts pass once through Arrow batches; nothing is shuffled or collected.
 
@@ -17,16 +21,22 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
-from collections.abc import Callable
+import re
+import struct
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import SPACES, U64, Words, mix, pieces
+from .common import U64, Words, mix, pieces
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+# How the byte-level pre-tokenizer splits a text, and texts of the characters
+# that every Unicode version classes alike (ASCII, Latin letters).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PLAIN = re.compile("[\t-\r -~\u00a1-\u00ac\u00ae-\u024f]*")
 _LOADED: dict[str, object] = {}
 
 
@@ -60,117 +70,114 @@ def cuts(w: Words, every: int = 32) -> list[np.ndarray]:
     return [at[bounds[i] : bounds[i + 1]] - w.offsets[i] for i in range(w.n_rows)]
 
 
-def _last_word(chunk: bytes) -> bytes:
-    """The last word and the single white space before it."""
-    head = chunk.rstrip(SPACES)
-    at = max(head.rfind(bytes([b])) for b in SPACES)
-    return chunk[max(at, 0) :]
+def split_chunk(chunk: bytes) -> list[bytes]:
+    """A chunk before each of its spaces."""
+    first, *rest = chunk.split(b" ")
+    return [x for x in (first, *[b" " + x for x in rest]) if x]
+
+
+def byte_ranks(path: str) -> dict[bytes, int] | None:
+    """The vocabulary of a byte-level tokenizer file as ranks of byte strings, or None where ids don't follow the merges."""
+    with open(path, encoding="utf-8") as f:
+        data = json.load(f)
+    pre, model = data.get("pre_tokenizer") or {}, data["model"]
+    if data.get("normalizer") or data.get("post_processor") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or model.get("type") != "BPE":
+        return None
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(x for x in range(256) if x not in plain)}
+    special = {t["content"] for t in data.get("added_tokens", [])}
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    follows = all(model["vocab"].get(x + y) == 256 + k for k, (x, y) in enumerate(merges))
+    return ranks if follows and len(ranks) == 256 + len(merges) else None
 
 
-def _first_word(chunk: bytes) -> bytes:
-    skip = len(chunk) - len(chunk.lstrip(SPACES))
-    ends = [k for b in SPACES if (k := chunk.find(bytes([b]), skip)) >= 0]
-    return chunk[: min(ends, default=len(chunk))]
+def fast_coder(path: str):
+    """The same vocabulary in the faster library, for texts both read alike (see PLAIN)."""
+    key = f"fast:{path}"
+    if key not in _LOADED:
+        import tiktoken
+
+        ranks = byte_ranks(path)
+        _LOADED[key] = ranks and tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _LOADED[key]
 
 
 class Coder:
     """Encodes and decodes texts chunk by chunk; ``most`` bounds the memo in bytes."""
 
-    def __init__(self, path: str, most: int = 96 << 20):
-        self.t, self.most = tokenizer(path), most
+    def __init__(self, path: str, most: int = 128 << 20):
+        self.t, self.fast, self.most = tokenizer(path), fast_coder(path), most
+        self.special = [t.content for t in self.t.get_added_tokens_decoder().values()]
         self.chunks: dict[bytes, tuple[bytes, bytes]] = {}
-        self.joins: dict[tuple[bytes, bytes], bool] = {}
+        self.joins: dict[bytes, bool] = {}
         self.used, self.encoded, self.repaired = 0, 0, 0
 
+    def one(self, data: bytes) -> bytes:
+        """Token ids of a string, by the tokenizer itself."""
+        ids = self.t.encode_batch_fast([data.decode()], add_special_tokens=False)[0].ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def learn(self, new: list[bytes]) -> None:
-        if self.used > self.most:
-            self.chunks.clear()
-            self.joins.clear()
-            self.used = 0
-        ids = [e.ids for e in self.t.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)]
-        texts = self.t.decode_batch(ids, skip_special_tokens=False)
-        for c, i, text in zip(new, ids, texts, strict=True):
-            out = text.encode()
-            self.chunks[c] = (np.array(i, dtype="<u4").tobytes(), c if out == c else out)
-            self.used += 3 * len(c) + 4 * len(i) + 400
+        """Encode and decode chunks that are not known yet."""
+        slow = []
+        for c in new:
+            text = c.decode()
+            if self.fast is None or PLAIN.fullmatch(text) is None or any(x in text for x in self.special):
+                slow.append((c, text))
+                continue
+            ids = self.fast.encode_ordinary(text)
+            out = self.fast.decode_bytes(ids)
+            self.chunks[c] = (struct.pack(f"<{len(ids)}I", *ids), c if out == c else out)
+            self.used += len(c) + 4 * len(ids) + 300
+        if slow:
+            ids = [e.ids for e in self.t.encode_batch_fast([x for _, x in slow], add_special_tokens=False)]
+            for (c, _), i, text in zip(slow, ids, self.t.decode_batch(ids, skip_special_tokens=False), strict=True):
+                out = text.encode()
+                self.chunks[c] = (struct.pack(f"<{len(i)}I", *i), c if out == c else out)
+                self.used += len(c) + 4 * len(i) + 300
         self.encoded += len(new)
 
-    def agrees(self, left: bytes, right: bytes) -> Callable[[list[int]], bool]:
-        """Whether tokens of the words around a join are those the two chunks have there."""
-
-        def check(ids: list[int]) -> bool:
-            joint = np.array(ids, dtype="<u4").tobytes()
-            a, b = self.chunks[left][0], self.chunks[right][0]
-            return any(a.endswith(joint[:k]) and b.startswith(joint[k:]) for k in self._splits(joint, len(_last_word(left))))
+    def agrees(self, left: bytes, right: bytes) -> bool:
+        """Whether two strings encoded together give the tokens of the one, then of the other."""
+        return self.one(left + right) == self.one(left) + self.one(right)
 
-        return check
+    def try_join(self, a: bytes, b: bytes) -> bool:
+        """The words around a join of two known chunks, together and alone, against both chunks' tokens."""
+        left, right = split_chunk(a)[-1], split_chunk(b)[0]
+        x, y = self.one(left), self.one(right)
+        return self.chunks[a][0].endswith(x) and self.chunks[b][0].startswith(y) and self.one(left + right) == x + y
 
-    def _splits(self, joint: bytes, size: int) -> list[int]:
-        """Where in the tokens the first ``size`` bytes end: one place, or none if a token crosses it."""
-        ids = np.frombuffer(joint, "<u4").tolist()
-        done = 0
-        for k, i in enumerate(ids):
-            if done == size:
-                return [4 * k]
-            done += self._width(i)
-        return []
-
-    def _width(self, i: int) -> int:
-        w = self._widths.get(i)
-        if w is None:
-            # Byte-level vocabularies write one character for each byte.
-            w = self._widths[i] = len(self.t.id_to_token(i) or "")
-        return w
-
-    _widths: dict[int, int] = {}
+    def repair(self, chunks: list[bytes]) -> tuple[bytes, bytes]:
+        """A text whose chunks don't join: its pieces are merged over every join that does not agree, until all do."""
+        out: list[bytes] = []
+        for x in (x for c in chunks for x in split_chunk(c)):
+            out.append(x)
+            while len(out) > 1 and not self.agrees(out[-2], out[-1]):
+                out[-2:] = [out[-2] + out[-1]]
+                self.repaired += 1
+        ids = b"".join([self.one(x) for x in out])
+        return ids, self.t.decode(list(struct.unpack(f"<{len(ids) // 4}I", ids)), skip_special_tokens=False).encode()
 
     def code(self, texts: list[list[bytes]]) -> list[tuple[bytes, bytes]]:
         """Token ids (little-endian 32 bit) and decoded bytes of texts given as chunks."""
-        new = list(dict.fromkeys(c for t in texts for c in t if c not in self.chunks))
-        size = sum(map(len, new))
-        self.used += size
-        self.learn(new) if self.used - size <= self.most else self._restart(texts)
-        pending: dict[tuple[bytes, bytes], tuple[bytes, bytes]] = {}
-        keyed = []
+        if self.used > self.most:
+            self.chunks.clear()
+            self.used = 0
+        self.learn(list(dict.fromkeys([c for t in texts for c in t if c not in self.chunks])))
+        out = []
         for t in texts:
-            row = []
+            fine = True
             for a, b in zip(t, t[1:], strict=False):
-                key = (_last_word(a), _first_word(b))
-                row.append(key)
-                if key not in self.joins and key not in pending:
-                    pending[key] = (a, b)
-            keyed.append(row)
-        joint = self.t.encode_batch_fast([(a + b).decode() for a, b in pending], add_special_tokens=False)
-        for (key, (a, b)), e in zip(pending.items(), joint, strict=True):
-            self.joins[key] = self.agrees(a, b)(e.ids)
-            self.used += len(key[0]) + len(key[1]) + 300
-        return [self._assemble(t, k) for t, k in zip(texts, keyed, strict=True)]
-
-    def _restart(self, texts: list[list[bytes]]) -> None:
-        self.used = self.most + 1
-        self.learn(list(dict.fromkeys(c for t in texts for c in t)))
-
-    def _assemble(self, text: list[bytes], keys: list[tuple[bytes, bytes]]) -> tuple[bytes, bytes]:
-        if not all(self.joins[k] for k in keys):
-            text = self._repair(text)
-        got = [self.chunks[c] for c in text]
-        return b"".join(x[0] for x in got), b"".join(x[1] for x in got)
-
-    def _repair(self, text: list[bytes]) -> list[bytes]:
-        """Merge chunks over joins that don't agree until all that are left do."""
-        out: list[bytes] = []
-        for c in text:
-            out.append(c)
-            while len(out) > 1:
-                a, b = out[-2], out[-1]
-                key = (_last_word(a), _first_word(b))
-                if self.agrees(a, b)(self.t.encode_batch_fast([(key[0] + key[1]).decode()], add_special_tokens=False)[0].ids):
-                    break
-                out[-2:] = [a + b]
-                self.repaired += 1
-                if out[-1] not in self.chunks:
-                    e = self.t.encode_batch_fast([out[-1].decode()], add_special_tokens=False)[0].ids
-                    self.chunks[out[-1]] = (np.array(e, dtype="<u4").tobytes(), self.t.decode(e, skip_special_tokens=False).encode())
+                key = a[-2:] + b[:3]
+                if key not in self.joins:
+                    self.joins[key] = self.try_join(a, b)
+                fine &= self.joins[key]
+            if fine:
+                got = [self.chunks[c] for c in t]
+                out.append((b"".join([x[0] for x in got]), b"".join([x[1] for x in got])))
+            else:
+                out.append(self.repair(t))
         return out
 
 
