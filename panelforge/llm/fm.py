@@ -123,3 +123,16 @@ def quality_scores(docs: DataFrame, labels: DataFrame, learn_from=None) -> DataF
     from .common import crc_of_id
 
     return score(docs, fit(learn_from or docs, labels.where(crc_of_id() % 4 != 2)))
+
+
+def keep_good(docs: DataFrame, machine: Machine, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` that score at least ``threshold``, with all their columns."""
+
+    def each(batches):
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                text = part.column(part.schema.get_field_index("text"))
+                d = dense(text, part.column(part.schema.get_field_index("n_chars")).to_numpy(zero_copy_only=False).astype(float))
+                yield part.filter(pa.array(machine.score(*bag(text, machine.bits), d) >= threshold))
+
+    return docs.mapInArrow(each, docs.schema)

@@ -109,25 +109,38 @@ def _bands(reps: DataFrame) -> DataFrame:
     return reps.select("doc_id", "sig").mapInArrow(each, "bucket long, doc_id long")
 
 
+def with_ids(docs: DataFrame, ids: DataFrame, keep: bool, broadcast_ids: int) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is (``keep``) or is not among ``ids``; a null id is not.
+
+    Up to ``broadcast_ids`` ids, which are counted first, go to the tasks; more are joined.
+    """
+    if ids.count() > broadcast_ids:
+        return docs.join(ids, "doc_id", "left_semi" if keep else "left_anti")
+    known = np.sort(ids.toPandas()["doc_id"].to_numpy(np.int64))
+
+    def each(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index("doc_id")
+            mine = batch.column(at).fill_null(0).to_numpy(zero_copy_only=False)
+            hit = np.zeros(len(mine), dtype=bool)
+            if len(known):
+                hit = known[np.minimum(np.searchsorted(known, mine), len(known) - 1)] == mine
+            hit &= np.array(batch.column(at).is_valid())
+            yield batch.filter(pa.array(hit == keep))
+
+    return docs.mapInArrow(each, docs.schema)
+
+
 def _sets(docs: DataFrame, ids: DataFrame, broadcast_ids: int) -> DataFrame:
     """(doc_id, shingles) of the documents in ``ids`` (distinct)."""
-    known = None
-    if ids.count() <= broadcast_ids:
-        known = np.sort(ids.toPandas()["doc_id"].to_numpy(np.int64))
-    else:
-        docs = docs.join(ids, "doc_id", "left_semi")
 
     def each(batches):
         for batch in batches:
-            if known is not None:
-                mine = batch.column("doc_id").to_numpy(zero_copy_only=False)
-                at = np.minimum(np.searchsorted(known, mine), max(len(known) - 1, 0))
-                batch = batch.filter(pa.array(known[at] == mine)) if len(known) else batch.slice(0, 0)
             for part in pieces(batch, "text"):
                 bounds, h = shingle_sets(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array([pack(h[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary())], ["doc_id", "shingles"])
 
-    made = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(each, "doc_id long, shingles binary")
+    made = with_ids(docs.select("doc_id", "text"), ids, True, broadcast_ids).mapInArrow(each, "doc_id long, shingles binary")
     return materialise(made, "shingle-sets")
 
 
@@ -222,3 +235,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, broadcast_ids: int = 4_0
     named = labelled(known.withColumnRenamed("rep", "_rep"), "_rep", "component_id").select("doc_id", "component_id").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     out = rows.select("doc_id", "n_shingles").join(named, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, percent: int = 75, broadcast_ids: int = 4_000_000) -> DataFrame:
+    """``docs`` without the rows that are not their component's smallest document."""
+    gone = near_duplicates(docs, percent, broadcast_ids).where("not kept").select("doc_id").distinct()
+    return with_ids(docs, materialise(gone, "duplicates"), False, broadcast_ids)
