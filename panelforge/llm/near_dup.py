@@ -9,9 +9,9 @@ buckets and star-shaped candidate edges, confirmed on full shingle sets.
    In each bucket all members are linked with one centre, the member that meets most
    others over all its buckets: candidate edges grow with the members, not their pairs.
 4. Edges are confirmed on full sets, each document's best one first; the rest only
-   where they join different components.  Buckets that still hold several components
-   are then searched for links across them by signature (cells of bounded size), so no
-   link between different texts is lost that the bands can see.
+   where they join different components.  What the buckets that still hold several components
+   have is then compared across components on full sets, in cells of bounded size that
+   give back links alone, so no link between different texts is lost.
 
 Sets are built for documents of shared buckets only.  Their ids go to the tasks if
 their checked size allows, else texts are joined with them.
@@ -168,32 +168,43 @@ def _confirm(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return materialise(edges.select("u", "v").join(left, "v").join(right, "u").select("u", "v", "a", "b").mapInArrow(each, "u long, v long"), "links")
 
 
-def _across(rows: DataFrame, cell: int = 2000, agree: int = 76) -> DataFrame:
-    """Pairs of one bucket and different components whose signatures agree in ``agree`` bins.
+def _across(rows: DataFrame, percent: int, cell: int = 1_000_000) -> DataFrame:
+    """Links between different components of one cluster, on full sets.
 
-    At similarity 0.75 a pair agrees in 96 of 128 bins, in fewer than 76 with probability
-    1e-5.  A bucket of more than ``cell`` members is split into cells of its halves' pairs.
+    ``rows``: cluster, doc_id, component, shingles.  A cluster of more than ``cell``
+    shingles is dealt into parts, and each two parts meet in a task of their own; what
+    two documents share is counted over the documents of each shingle.
     """
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"))
-    cut = rows.join(sizes, "bucket").withColumn("s", F.ceil(F.col("n") / F.lit(cell)).cast("int")).withColumn("i", F.pmod(F.xxhash64("doc_id"), F.col("s")).cast("int"))
+    sizes = rows.groupBy("cluster").agg(F.sum(F.octet_length("shingles") / 7).alias("n"))
+    cut = rows.join(sizes, "cluster").withColumn("s", F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(cell))).cast("int")).withColumn("i", F.pmod(F.xxhash64("doc_id"), F.col("s")).cast("int"))
     cells = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("j")).select(
-        "bucket", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "doc_id", "component", "sig", (F.col("i") <= F.col("j")).alias("first"), (F.col("i") >= F.col("j")).alias("second")
+        "cluster", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "doc_id", "component", "shingles", (F.col("i") <= F.col("j")).alias("first")
     )
 
     def each(table: pa.Table) -> pa.Table:
         ids, comp = table.column("doc_id").to_numpy(), table.column("component").to_numpy()
-        sig = np.array([np.frombuffer(x, np.uint16) for x in table.column("sig").to_pylist()])
-        a, b = np.flatnonzero(table.column("first").to_numpy(zero_copy_only=False)), np.flatnonzero(table.column("second").to_numpy(zero_copy_only=False))
-        us, vs = [], []
-        for k in a:
-            near = b[(comp[b] != comp[k]) & (ids[b] != ids[k])]
-            near = near[(sig[near] == sig[k]).sum(axis=1) >= agree]
-            us.append(np.minimum(ids[k], ids[near]))
-            vs.append(np.maximum(ids[k], ids[near]))
-        u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
-        return pa.table({"u": u, "v": v})
-
-    return cells.groupBy("bucket", "x", "y").applyInArrow(each, "u long, v long").distinct()
+        first = np.array(table.column("first").to_numpy(zero_copy_only=False))
+        one_part = table.column("x")[0].as_py() == table.column("y")[0].as_py()
+        sets = [unpack(x) for x in table.column("shingles").to_pylist()]
+        size = np.array([len(x) for x in sets])
+        doc = np.repeat(np.arange(len(sets)), size)
+        _, number = np.unique(np.concatenate(sets), return_inverse=True)
+        order = np.argsort(number, kind="stable")
+        posting, bounds = doc[order], np.searchsorted(number[order], np.arange(number.max(initial=-1) + 2))
+        starts = np.concatenate(([0], np.cumsum(size)))
+        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in np.flatnonzero(first):
+            mine = number[starts[k] : starts[k + 1]]
+            many = bounds[mine + 1] - bounds[mine]
+            at = np.repeat(bounds[mine] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
+            shared = np.bincount(posting[at], minlength=len(sets))
+            hit = (100 * shared >= percent * (size + size[k] - shared)) & (comp != comp[k]) & (one_part | ~first)
+            hit = np.flatnonzero(hit)
+            us.append(np.minimum(ids[k], ids[hit]))
+            vs.append(np.maximum(ids[k], ids[hit]))
+        return pa.table({"u": np.concatenate(us), "v": np.concatenate(vs)})
+
+    return cells.groupBy("cluster", "x", "y").applyInArrow(each, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, broadcast_ids: int = 4_000_000) -> DataFrame:
@@ -227,10 +238,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, broadcast_ids: int = 4_0
         found = components(links)
     mixed = labelled(members.select("bucket", "doc_id"), "doc_id", "component")
     several = mixed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("bucket")
-    across = materialise(_across(mixed.join(several, "bucket").join(reps, "doc_id")).join(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"), "across")
+    clusters = components(edges.select("u", "v")).select(F.col("node").alias("doc_id"), F.col("component").alias("_k"))
+    left = mixed.join(several, "bucket").select("doc_id", "component").distinct().join(clusters, "doc_id", "left")
+    left = left.select(F.coalesce("_k", "doc_id").alias("cluster"), "doc_id", "component").join(sets, "doc_id")
+    across = materialise(_across(left, percent), "across")
     if not across.isEmpty():
-        links = links.unionByName(_confirm(across, sets, percent))
-        found = components(links)
+        found = components(links.unionByName(across))
     # A class is as small as its representative, which is its smallest document.
     named = labelled(known.withColumnRenamed("rep", "_rep"), "_rep", "component_id").select("doc_id", "component_id").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     out = rows.select("doc_id", "n_shingles").join(named, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
