@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from .operators import queries as operators
 from .plans import dsl_queries
 
-QUERIES = {**dsl_queries.QUERIES}
-ORACLES = {**dsl_queries.ORACLES}
+QUERIES = {**dsl_queries.QUERIES, **operators.QUERIES}
+ORACLES = {**dsl_queries.ORACLES, **operators.ORACLES}
