@@ -115,12 +115,20 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial over its bytes, read off one running sum."""
-    p, q = _powers(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[raw] * p[: len(raw)], out=total[1:])
-    return mix((total[ends] - total[starts]) * q[starts] + (ends - starts).astype(np.uint64))
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, span: int = 1 << 18) -> np.ndarray:
+    """A 64-bit hash of each word: a polynomial over its bytes, read off running sums of ``span`` bytes and the last word's rest."""
+    out = np.empty(len(starts), dtype=np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + span)))
+        s, e = starts[i:j] - starts[i], ends[i:j] - starts[i]
+        part = raw[starts[i] : ends[j - 1]]
+        p, q = _powers(len(part) + 1)
+        total = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[part] * p[: len(part)], out=total[1:])
+        out[i:j] = mix((total[e] - total[s]) * q[s] + (e - s).astype(np.uint64))
+        i = j
+    return out
 
 
 def windows(words: np.ndarray, rows: np.ndarray, n: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -136,7 +144,7 @@ def windows(words: np.ndarray, rows: np.ndarray, n: int, seed: int = 0) -> tuple
     return mix(h[at]), at
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 2 << 20):
+def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 19):
     """Slices of a batch with about ``most`` bytes of text each; a longer text stands alone."""
     _, offsets = text_buffers(batch.column(batch.schema.get_field_index(column)))
     start = 0
