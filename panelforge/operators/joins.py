@@ -55,13 +55,15 @@ def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def split_by_ratio(dates: DataFrame, date: str, train: float, valid: float) -> DataFrame:
-    """Distinct dates in order as train, valid and test, each at least one where there are three."""
+    """Distinct dates in order as train, valid and test; the test always has one."""
     d = dates.select(date).distinct()
     n = d.count()
     a = max(1, int(n * train))
     b = max(1, int(n * valid))
     if a + b >= n:
         b = max(1, n - a - 1)
+    if a + b >= n:  # the last date is the test's
+        a, b = (a, b - 1) if b else (a - 1, b)
     k = F.row_number().over(Window.orderBy(date))
     return d.select(date, F.when(k <= a, F.lit("train")).when(k <= a + b, F.lit("valid")).otherwise(F.lit("test")).alias("split"))
 

@@ -544,7 +544,7 @@ ZOO = {
     "sign": "(-1 * $qty) * SIGN(MEDIAN($price) - $price)", "corr": "RANK(TS_CORR($price, $qty, 10)) * SIGN(TS_MEAN($vol, 5))", "tern": "$qty > 25 && $vol > 3 ? -$price : 0.5 * $price",
 }
 #: Measures of ZOO counted by hand: nodes, numbers, distinct fields, fields.
-_ZOO_COUNTS = {"mom": (12, 4, 1, 2), "band": (15, 4, 1, 4), "sign": (9, 1, 2, 3), "corr": (10, 2, 3, 3), "tern": (12, 3, 3, 4)}
+_ZOO_COUNTS = {"mom": (12, 4, 1, 2), "band": (15, 4, 1, 4), "sign": (9, 1, 2, 3), "corr": (10, 2, 3, 3), "tern": (13, 3, 3, 4)}
 _ZOO_SQL = "VALUES " + ", ".join(f"('{n}', '{t}', {', '.join(map(str, _ZOO_COUNTS[n]))})" for n, t in ZOO.items())
 
 

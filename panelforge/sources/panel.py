@@ -91,7 +91,8 @@ def read_feather(spark: SparkSession, path: str) -> DataFrame:
 def wide_to_long(df: DataFrame, time: str, value: str) -> DataFrame:
     """One column a ticker to rows of date, minute (HHMM), ticker."""
     long = df.unpivot(time, [c for c in df.columns if c != time], "ticker", value)
-    return long.where(F.col(value).isNotNull()).select(F.to_date(time).alias("date"), (F.hour(time) * 100 + F.minute(time)).alias("minute"), "ticker", num(F.col(value).cast("double")).alias(value))
+    long = long.select(F.to_date(time).alias("date"), (F.hour(time) * 100 + F.minute(time)).alias("minute"), "ticker", num(F.col(value).cast("double")).alias(value))
+    return long.where(F.col(value).isNotNull())
 
 
 def read_universe(spark: SparkSession, path: str) -> DataFrame:
