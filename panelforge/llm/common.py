@@ -56,7 +56,7 @@ def crc_of_id(column: str = "doc_id") -> Column:
 
 
 def crc_mod(ids, mod: int) -> np.ndarray:
-    return np.array([zlib.crc32(str(int(x)).encode()) % mod for x in ids], dtype=np.int64)
+    return np.array([zlib.crc32(b"" if x is None else str(x).encode()) % mod for x in ids], dtype=np.int64)
 
 
 # -- words ---------------------------------------------------------------------

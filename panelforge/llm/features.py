@@ -76,7 +76,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     the bound, so they are broadcast.
     """
     chosen = labels.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id", *[c for c in labels.columns if c != "doc_id"]).limit(most)
-    return docs.join(F.broadcast(chosen), "doc_id")
+    return docs.select(*[c for c in ("doc_id", "text", "n_chars") if c in docs.columns]).join(F.broadcast(chosen), "doc_id")
 
 
 def collect_features(sample: DataFrame, label: str, bits: int, prefixes: tuple[int, ...] = (), with_dense: bool = True):

@@ -108,7 +108,7 @@ def score(docs: DataFrame, machine: Machine, threshold: float = 0.7, mod: int =
     def each(batches):
         for batch in batches:
             for part in pieces(batch, "text"):
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
+                ids = part.column("doc_id").to_pylist()
                 d = dense(part.column("text"), part.column("n_chars").to_numpy(zero_copy_only=False).astype(float))
                 p = machine.score(*bag(part.column("text"), machine.bits), d)
                 yield pa.RecordBatch.from_arrays(

@@ -18,7 +18,8 @@ their checked size allows, else texts are joined with them.
 
 Defined results: null and empty texts have no shingles and are linked with nothing;
 texts of one to four words are one shingle; repeated rows are copies of each other and
-keep their rows; an empty table gives an empty result.
+keep their rows; a row without a doc_id has no component and is kept; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -247,7 +248,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, broadcast_ids: int = 4_0
     # A class is as small as its representative, which is its smallest document.
     named = labelled(known.withColumnRenamed("rep", "_rep"), "_rep", "component_id").select("doc_id", "component_id").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     out = rows.select("doc_id", "n_shingles").join(named, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, percent: int = 75, broadcast_ids: int = 4_000_000) -> DataFrame:

@@ -190,6 +190,9 @@ def digests(docs: DataFrame, n: int = 13, block_bytes: int = 4 << 20) -> DataFra
 
 def remove_repeats(docs: DataFrame, n: int = 13, block_bytes: int = 4 << 20) -> DataFrame:
     """``docs`` with repeated passages cut from ``text`` (the rest keeps its white space) and n_chars to match."""
+    # Columns go by number meanwhile: none can clash with the block's.
+    names = docs.columns
+    docs = docs.toDF(*[c if c in ("doc_id", "text", "n_chars") else f"c{k}" for k, c in enumerate(names)])
     schema = docs.schema
     blocks, answers = _blocks_and_answers(docs, n, block_bytes)
 
@@ -216,4 +219,4 @@ def remove_repeats(docs: DataFrame, n: int = 13, block_bytes: int = 4 << 20) ->
                 made = made.set_column(k, made.schema.field(k), pa.array(values, made.schema.field(k).type))
         return made
 
-    return blocks.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(each, schema)
+    return blocks.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(each, schema).toDF(*names)
