@@ -30,10 +30,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes of ``edges`` (u, v); a component is named by its smallest node, which has no row."""
     current = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "edges")
-    before = None
+    # Done once no node is both a member and a centre, and every member has one centre.
     while True:
-        mark = tuple(current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if mark == before or mark[0] == 0:
+        ends = current.groupBy("u").agg(F.count("*").alias("k"))
+        deep = current.select(F.col("v").alias("u")).distinct().withColumn("k", F.lit(1).cast("bigint"))
+        if ends.unionByName(deep).groupBy("u").agg(F.sum("k").alias("k")).where("k > 1").isEmpty():
             return current.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        before = mark
-        current = materialise(_small_star(materialise(_large_star(current), "edges")), "edges")
+        current = materialise(_small_star(_large_star(current)), "edges")

@@ -8,8 +8,7 @@ buckets and star-shaped candidate edges, confirmed on full shingle sets.
 3. 32 bands of 4 bins: a pair at similarity 0.75 misses all with probability 5e-6.
    In each bucket all members are linked with one centre, the member that meets most
    others over all its buckets: candidate edges grow with the members, not their pairs.
-4. Edges are confirmed on full sets, each document's best one first; the rest only
-   where they join different components.  What the buckets that still hold several components
+4. Edges are confirmed on full sets.  What the buckets that still hold several components
    have is then compared across components on full sets, in cells of bounded size that
    give back links alone, so no link between different texts is lost.
 
@@ -194,12 +193,14 @@ def _across(rows: DataFrame, percent: int, cell: int = 1_000_000) -> DataFrame:
         posting, bounds = doc[order], np.searchsorted(number[order], np.arange(number.max(initial=-1) + 2))
         starts = np.concatenate(([0], np.cumsum(size)))
         us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for k in np.flatnonzero(first):
+        # Two documents of the most frequent component need no look at each other.
+        _, of, many_of = np.unique(comp, return_inverse=True, return_counts=True)
+        for k in np.flatnonzero(of != many_of.argmax()):
             mine = number[starts[k] : starts[k + 1]]
             many = bounds[mine + 1] - bounds[mine]
             at = np.repeat(bounds[mine] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
             shared = np.bincount(posting[at], minlength=len(sets))
-            hit = (100 * shared >= percent * (size + size[k] - shared)) & (comp != comp[k]) & (one_part | ~first)
+            hit = (100 * shared >= percent * (size + size[k] - shared)) & (comp != comp[k]) & (one_part | (first != first[k]))
             hit = np.flatnonzero(hit)
             us.append(np.minimum(ids[k], ids[hit]))
             vs.append(np.maximum(ids[k], ids[hit]))
@@ -225,28 +226,29 @@ def near_duplicates(docs: DataFrame, percent: int = 75, broadcast_ids: int = 4_0
     edges = materialise(edges, "candidates")
     sets = _sets(docs, members.select("doc_id").distinct(), broadcast_ids).dropDuplicates(["doc_id"])
 
-    best = edges.groupBy("v").agg(F.max(F.struct("bands", (-F.col("u")).alias("low"))).alias("top")).select((-F.col("top.low")).alias("u"), "v")
-    links = _confirm(best, sets, percent)
+    links = _confirm(edges, sets, percent)
     found = components(links)
 
-    def labelled(df: DataFrame, column: str, name: str) -> DataFrame:
-        lab = found.select(F.col("node").alias(column), F.col("component").alias("_c"))
+    def labelled(df: DataFrame, labels: DataFrame, column: str, name: str) -> DataFrame:
+        lab = labels.select(F.col("node").alias(column), F.col("component").alias("_c"))
         return df.join(lab, column, "left").withColumn(name, F.coalesce("_c", column)).drop("_c")
 
-    rest = materialise(labelled(labelled(edges.select("u", "v").join(best, ["u", "v"], "left_anti"), "u", "cu"), "v", "cv").where("cu != cv").select("u", "v"), "rest")
-    if not rest.isEmpty():
-        links = links.unionByName(_confirm(rest, sets, percent))
-        found = components(links)
-    mixed = labelled(members.select("bucket", "doc_id"), "doc_id", "component")
-    several = mixed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("bucket")
-    clusters = components(edges.select("u", "v")).select(F.col("node").alias("doc_id"), F.col("component").alias("_k"))
-    left = mixed.join(several, "bucket").select("doc_id", "component").distinct().join(clusters, "doc_id", "left")
-    left = left.select(F.coalesce("_k", "doc_id").alias("cluster"), "doc_id", "component").join(sets, "doc_id")
-    across = materialise(_across(left, percent), "across")
-    if not across.isEmpty():
-        found = components(links.unionByName(across))
+    # Centres and members that stayed apart: the components they are in form clusters.
+    apart = labelled(labelled(edges.select("u", "v"), found, "u", "cu"), found, "v", "cv").where("cu != cv")
+    apart = materialise(apart.select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct(), "apart")
+    if not apart.isEmpty():
+        clusters = components(apart)
+        mixed = labelled(members.select("bucket", "doc_id"), found, "doc_id", "component")
+        several = mixed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("bucket")
+        rows_ = mixed.join(several, "bucket").select("doc_id", "component").distinct().join(sets, "doc_id")
+        across = _across(labelled(rows_, clusters, "component", "cluster"), percent)
+        across = labelled(labelled(across, found, "u", "cu"), found, "v", "cv").select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct()
+        across = materialise(across, "across")
+        if not across.isEmpty():
+            joined = components(across)
+            found = materialise(labelled(found, joined, "component", "_top").select("node", F.col("_top").alias("component")).unionByName(joined.join(found.select("node"), "node", "left_anti")), "components")
     # A class is as small as its representative, which is its smallest document.
-    named = labelled(known.withColumnRenamed("rep", "_rep"), "_rep", "component_id").select("doc_id", "component_id").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    named = labelled(known.withColumnRenamed("rep", "_rep"), found, "_rep", "component_id").select("doc_id", "component_id").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     out = rows.select("doc_id", "n_shingles").join(named, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
