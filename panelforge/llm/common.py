@@ -152,6 +152,7 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 19):
         end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + most, side="right")) - 1)
         yield batch.slice(start, end - start)
         start = end
+    pa.default_memory_pool().release_unused()
 
 
 class Words:

@@ -46,6 +46,7 @@ RAW = frozenset("script style textarea title noscript template iframe noembed no
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split()
 )
+UNSEEN = frozenset(("script", "style", "noscript", "template"))  # they part no text
 DROP = frozenset(
     "head nav header footer aside form script style textarea title noscript template iframe svg math canvas object audio video select button dialog menu fieldset noembed noframes datalist map".split()
 )
@@ -103,7 +104,7 @@ def read_page(source: str) -> tuple[list[tuple[int, str]], list[tuple[int, str,
                 runs.append((block, piece[9:].removesuffix("]]>"), root, drop))
             continue
         name = name.lower()
-        inline = name in INLINE
+        inline = name in INLINE or name in UNSEEN
         if not inline:
             block += 1
         if m[1]:  # an end tag closes its element and what is open inside

@@ -109,39 +109,50 @@ def _bands(reps: DataFrame) -> DataFrame:
     return reps.select("doc_id", "sig").mapInArrow(each, "bucket long, doc_id long")
 
 
-def with_ids(docs: DataFrame, ids: DataFrame, keep: bool, broadcast_ids: int) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is (``keep``) or is not among ``ids``; a null id is not.
+def _ids(ids: DataFrame, broadcast_ids: int) -> np.ndarray | None:
+    """The sorted ids if they are at most ``broadcast_ids``, which is counted first."""
+    return None if ids.count() > broadcast_ids else np.sort(ids.toPandas()["doc_id"].to_numpy(np.int64))
+
+
+def _among(batch: pa.RecordBatch, known: np.ndarray, keep: bool) -> pa.RecordBatch:
+    """Rows whose doc_id is (``keep``) or is not among the sorted ids; a null id is not."""
+    at = batch.schema.get_field_index("doc_id")
+    mine = batch.column(at).fill_null(0).to_numpy(zero_copy_only=False)
+    hit = np.zeros(len(mine), dtype=bool)
+    if len(known):
+        hit = known[np.minimum(np.searchsorted(known, mine), len(known) - 1)] == mine
+    hit &= np.array(batch.column(at).is_valid())
+    return batch.filter(pa.array(hit == keep))
 
-    Up to ``broadcast_ids`` ids, which are counted first, go to the tasks; more are joined.
-    """
-    if ids.count() > broadcast_ids:
-        return docs.join(ids, "doc_id", "left_semi" if keep else "left_anti")
-    known = np.sort(ids.toPandas()["doc_id"].to_numpy(np.int64))
+
+def without_ids(docs: DataFrame, ids: DataFrame, broadcast_ids: int) -> DataFrame:
+    """``docs`` but for the ids (distinct): few go to the tasks, more are joined."""
+    known = _ids(ids, broadcast_ids)
+    if known is None:
+        return docs.join(ids, "doc_id", "left_anti").select(docs.columns)
 
     def each(batches):
         for batch in batches:
-            at = batch.schema.get_field_index("doc_id")
-            mine = batch.column(at).fill_null(0).to_numpy(zero_copy_only=False)
-            hit = np.zeros(len(mine), dtype=bool)
-            if len(known):
-                hit = known[np.minimum(np.searchsorted(known, mine), len(known) - 1)] == mine
-            hit &= np.array(batch.column(at).is_valid())
-            yield batch.filter(pa.array(hit == keep))
+            for part in pieces(batch, "text"):
+                yield _among(part, known, False)
 
     return docs.mapInArrow(each, docs.schema)
 
 
 def _sets(docs: DataFrame, ids: DataFrame, broadcast_ids: int) -> DataFrame:
     """(doc_id, shingles) of the documents in ``ids`` (distinct)."""
+    docs, known = docs.select("doc_id", "text"), _ids(ids, broadcast_ids)
+    if known is None:
+        docs = docs.join(ids, "doc_id", "left_semi")
 
     def each(batches):
         for batch in batches:
+            batch = batch if known is None else _among(batch, known, True)
             for part in pieces(batch, "text"):
                 bounds, h = shingle_sets(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array([pack(h[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary())], ["doc_id", "shingles"])
 
-    made = with_ids(docs.select("doc_id", "text"), ids, True, broadcast_ids).mapInArrow(each, "doc_id long, shingles binary")
-    return materialise(made, "shingle-sets")
+    return materialise(docs.mapInArrow(each, "doc_id long, shingles binary"), "shingle-sets")
 
 
 def _confirm(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -256,4 +267,4 @@ def near_duplicates(docs: DataFrame, percent: int = 75, broadcast_ids: int = 4_0
 def one_of_each(docs: DataFrame, percent: int = 75, broadcast_ids: int = 4_000_000) -> DataFrame:
     """``docs`` without the rows that are not their component's smallest document."""
     gone = near_duplicates(docs, percent, broadcast_ids).where("not kept").select("doc_id").distinct()
-    return with_ids(docs, materialise(gone, "duplicates"), False, broadcast_ids)
+    return without_ids(docs, materialise(gone, "duplicates"), broadcast_ids)

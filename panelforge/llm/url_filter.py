@@ -24,7 +24,7 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Suffixes of two labels under which domains are registered; fixed values.
 LONG_SUFFIXES = ("ac.uk", "co.jp", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.cn", "com.mx", "gov.uk", "org.au", "org.uk")
-MAX_STRENGTH, MIN_STRENGTH = 1000.0, 0.5
+MAX_STRENGTH, MIN_STRENGTH, PLAIN_STRENGTH = 1000.0, 0.5, 10.0
 
 
 def with_host(pages: DataFrame, url: str = "url") -> DataFrame:
@@ -51,8 +51,10 @@ def _levels() -> tuple[Column, Column]:
     return F.when(long, take(3)).otherwise(take(2)), F.when(long, take(2)).otherwise(take(1))
 
 
-def _strength(row, s: str, n: str, sq: str, k: str) -> float:
-    """Prior strength from the spread of the members about their parents."""
+def _strength(row, s: str, n: str, sq: str, k: str, above: float) -> float:
+    """Prior strength from the spread of the members about their parents; where no parent has two, that of the level above."""
+    if not row[k]:
+        return above
     p = row["good"] / row["total"] if row["total"] else 0.5
     spread, size, degrees = row[s] or 0.0, (row[n] or 0.0) - (row[sq] or 0.0) - (row[k] or 0.0), row[k] or 0.0
     between = (spread - p * (1 - p) * degrees) / size if size > 0 else 0.0
@@ -83,7 +85,9 @@ def host_reputation(outcomes: DataFrame, hosts: DataFrame, z: float = 1.645) ->
         "total": total, "good": good, "hs": hd["hs"], "hn": total, "hq": du["hq"], "hk": du["hk"], "ds": du["ds_"], "dq": g["dq"], "dk": g["dk"],
         "us": us["us_"], "uq": g["sq"] / total if total else 0.0, "uk": max(0, (g["k"] or 0) - 1),
     }
-    kh, kd, ku = _strength(row, "hs", "total", "hq", "hk"), _strength(row, "ds", "total", "dq", "dk"), _strength(row, "us", "total", "uq", "uk")
+    ku = _strength(row, "us", "total", "uq", "uk", PLAIN_STRENGTH)
+    kd = _strength(row, "ds", "total", "dq", "dk", ku)
+    kh = _strength(row, "hs", "total", "hq", "hk", kd)
 
     # Each level's prior leaves out the member it is for.
     all_ = h.join(d.select("domain", "dn", "ds"), "domain", "left").join(u.select("suffix", "un", "us"), "suffix", "left")
