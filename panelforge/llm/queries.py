@@ -19,7 +19,8 @@ def op6_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = F.regexp_extract("url", "/([0-9]+)(?:/|\\.html)?(?:[?#].*)?$", 1).try_cast("long")
     labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("good"))
     outcomes = pages.select("url", shown.alias("doc_id")).join(labels, "doc_id").select("url", "good")
-    return url_filter.filter_urls(pages, outcomes)
+    out = url_filter.filter_urls(pages, outcomes)
+    return out.withColumns({c: F.round(c, 6) for c in ("reputation", "upper_bound")})
 
 
 def op2_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,4 +99,43 @@ SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(len(a.p), 0)::BIGINT AS n
 FROM w LEFT JOIN a ON a.doc_id = w.doc_id LEFT JOIN k ON k.doc_id = w.doc_id
 """
 
-ORACLES: dict[str, str] = {"op2_phrase_automata": OP2_SQL, "op9_near_dedup": OP9_SQL}
+
+
+def _strength_sql(spread: str, size: str, degrees: str, above: str) -> str:
+    share = f"(({spread} - m * (1 - m) * {degrees}) / {size} / (m * (1 - m)))"
+    return f"CASE WHEN {degrees} = 0 THEN {above} WHEN {size} > 0 AND m > 0 AND m < 1 AND {share} > 0 THEN least(1000, greatest(0.5, 1 / {share} - 1)) ELSE 1000 END"
+
+
+_LONG = ", ".join(f"'{x}'" for x in url_filter.LONG_SUFFIXES)
+_FITS = [(a, t, *t.partition("/")[::2]) for a, t in sorted(url_filter.RULES, key=lambda r: (-len(r[1]), r[0] != "block"))]
+_CASE = lambda out: "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{q}') THEN '{(a, t)[out]}'" for a, t, h, q in _FITS) + " END"
+OP6_SQL = rf"""
+WITH r AS (SELECT page_id, url, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{url_filter.UPPER}', '{url_filter.LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+ try_cast(nullif(regexp_extract(url, '/([0-9]+)(?:/|\.html)?(?:[?#].*)?$', 1), '') AS BIGINT) AS shown FROM r),
+l AS (SELECT doc_id, max(quality) AS good FROM labels GROUP BY 1),
+c AS (SELECT host, count(*) AS n, sum(good) AS s FROM p JOIN l ON shown = doc_id WHERE good IS NOT NULL GROUP BY 1),
+x AS (SELECT host, string_split(host, '.') AS a FROM (SELECT DISTINCT host FROM p)),
+y AS (SELECT host, a, array_to_string(a[greatest(len(a) - 1, 1):], '.') AS two FROM x),
+h AS (SELECT y.host, CASE WHEN two IN ({_LONG}) THEN array_to_string(a[greatest(len(a) - 2, 1):], '.') ELSE two END AS domain,
+ CASE WHEN two IN ({_LONG}) THEN two ELSE a[len(a)] END AS suffix, coalesce(n, 0)::DOUBLE AS n, coalesce(s, 0)::DOUBLE AS s FROM y LEFT JOIN c USING (host)),
+d AS (SELECT domain, suffix, sum(n) AS dn, sum(s) AS ds, count(*) FILTER (n > 0) AS dk, sum(n * n) AS dsq FROM h GROUP BY ALL),
+u AS (SELECT suffix, sum(dn) AS un, sum(ds) AS us, count(*) FILTER (dn > 0) AS uk, sum(dn * dn) AS usq FROM d GROUP BY ALL),
+g AS (SELECT sum(un) AS total, CASE WHEN sum(un) > 0 THEN sum(us) / sum(un) ELSE 1 END AS m, sum(uk - (un > 0)::INT) AS dk, sum(coalesce(usq / nullif(un, 0), 0)) AS dq,
+ greatest(count(*) FILTER (un > 0) - 1, 0) AS k, coalesce(sum(un * un) / nullif(sum(un), 0), 0) AS uq FROM u),
+e AS (SELECT (SELECT sum(coalesce(n * pow(s / nullif(n, 0) - ds / nullif(dn, 0), 2), 0)) FROM h JOIN d USING (domain, suffix)) AS hs,
+ (SELECT sum(coalesce(dn * pow(ds / nullif(dn, 0) - us / nullif(un, 0), 2), 0)) FROM d JOIN u USING (suffix)) AS dv,
+ (SELECT sum(dk - (dn > 0)::INT) FROM d) AS hk, (SELECT sum(coalesce(dsq / nullif(dn, 0), 0)) FROM d) AS hq,
+ (SELECT sum(coalesce(un * pow(us / nullif(un, 0) - m, 2), 0)) FROM u) AS uv, g.* FROM g),
+k1 AS (SELECT *, {_strength_sql("uv", "(total - uq - k)", "k", "10")} AS ku FROM e),
+k2 AS (SELECT *, {_strength_sql("dv", "(total - dq - dk)", "dk", "ku")} AS kd FROM k1),
+k3 AS (SELECT *, {_strength_sql("hs", "(total - hq - hk)", "hk", "kd")} AS kh FROM k2),
+b1 AS (SELECT h.*, dn, ds, m, ku, kd, kh, (us - ds + ku * m) / (un - dn + ku) AS m1 FROM h JOIN d USING (domain, suffix) JOIN u USING (suffix), k3),
+b2 AS (SELECT *, (ds - s + kd * m1) / (dn - n + kd) AS m2 FROM b1),
+b3 AS (SELECT host, n, s, s + kh * m2 AS a, n - s + kh * (1 - m2) AS b FROM b2),
+b AS (SELECT host, n::BIGINT AS host_labelled, s::BIGINT AS host_good, a / (a + b) AS reputation, a / (a + b) + 1.645 * sqrt(greatest(a * b, 0) / ((a + b) * (a + b) * (a + b + 1))) AS upper_bound FROM b3)
+SELECT page_id, p.host, path, {_CASE(1)} AS rule, coalesce({_CASE(0)}, CASE WHEN upper_bound < 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
+ host_labelled, host_good, round(reputation, 6) AS reputation, round(upper_bound, 6) AS upper_bound FROM p JOIN b ON p.host = b.host
+""".replace("(host = ", "(p.host = ").replace("ends_with(host,", "ends_with(p.host,")
+
+ORACLES: dict[str, str] = {"op6_host_reputation": OP6_SQL, "op2_phrase_automata": OP2_SQL, "op9_near_dedup": OP9_SQL}
