@@ -63,6 +63,19 @@ def forward_labels(df: DataFrame, price: str, axes: Axes, horizon: int = 10) ->
     return out.withColumns({f"ex_{c}": F.col(c) - F.avg(c).over(axes.cross()) for c in ("ret", "log_ret")})
 
 
+def intraday_features(quotes: DataFrame, keys: list[str]) -> DataFrame:
+    """Price impact (covariance of mid changes and imbalance over its variance), reversals of the mid,
+    share of ticks with more on the bid, and the spread's interquartile range."""
+    w = Window.partitionBy(*keys).orderBy("ns")
+    q = quotes.withColumn("move", F.col("mid") - F.lag("mid").over(w))
+    q = q.withColumn("turned", F.signum("move") * F.signum(F.lag("move").over(w)) < 0)
+    x, y = F.when(F.col("imb").isNotNull(), F.col("move")), F.when(F.col("move").isNotNull(), F.col("imb"))
+    return q.groupBy(*keys).agg(
+        div(F.covar_pop(x, y), F.var_pop(F.when(x.isNotNull(), y))).alias("kyle_lambda"), F.count_if("turned").alias("reversals"),
+        F.avg((F.col("imb") > 0).cast("double")).alias("imbalance_pos_ratio"), (F.percentile("spread", F.lit(0.75)) - F.percentile("spread", F.lit(0.25))).alias("spread_iqr"),
+    )
+
+
 def duration_stats(quotes: DataFrame, keys: list[str], end_ns: Column) -> DataFrame:
     """Time-weighted mean and deviation of the spread, and its concentration over one-cent steps."""
     w = Window.partitionBy(*keys).orderBy("ns")

@@ -78,6 +78,19 @@ def coverage(df: DataFrame, date: str, columns: list[str]) -> DataFrame:
     return rows.withColumn("bottleneck", F.coalesce(F.col("last_date") == F.min("last_date").over(Window.partitionBy(F.lit(0))), F.lit(False)))
 
 
+def calibration(df: DataFrame, pred: str, y: str, bins: int = 10) -> DataFrame:
+    """Mean prediction and outcome in bins between the quantiles of the prediction."""
+    d = df.where(F.col(pred).isNotNull() & F.col(y).isNotNull())
+    edges = d.agg(F.percentile(pred, F.array(*[F.lit(k / bins) for k in range(1, bins)])).alias("e")).first()["e"] or []
+    of = sum((F.when(F.col(pred) >= F.lit(e), 1).otherwise(0) for e in edges), F.lit(1))
+    return d.groupBy(of.alias("bin")).agg(F.avg(pred).alias("pred"), F.avg(y).alias("outcome"), F.count("*").alias("n"))
+
+
+def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) -> DataFrame:
+    """Rows of each of ``bins`` equal steps; 0 and bins + 1 hold what lies outside."""
+    return df.where(F.col(column).isNotNull()).groupBy(F.width_bucket(column, F.lit(low), F.lit(high), F.lit(bins)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+
+
 def best_by(df: DataFrame, group: list[str], metric: str) -> DataFrame:
     """The row of the largest absolute metric; ties go to the first name."""
     rest = [c for c in df.columns if c not in group]

@@ -79,6 +79,16 @@ def expanding_folds(dates: DataFrame, date: str, specs: list[tuple[str, str, str
     return reduce(DataFrame.unionByName, parts).where("role is not null")
 
 
+def available_dates(tables: list[DataFrame], date: str) -> DataFrame:
+    """Dates that every table has."""
+    return reduce(DataFrame.intersect, [t.select(date).distinct() for t in tables])
+
+
+def per_group(df: DataFrame, keys: list[str], user_code, schema: str) -> DataFrame:
+    """A user's pandas function on each group: a group must fit in a task, as a day of a panel does."""
+    return df.groupBy(*keys).applyInPandas(user_code, schema)
+
+
 def recent_dates(df: DataFrame, date: str, n: int) -> DataFrame:
     """Rows of the last ``n`` dates."""
     last = df.select(date).distinct().orderBy(F.col(date).desc()).limit(n)

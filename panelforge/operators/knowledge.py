@@ -29,6 +29,11 @@ def similarity_matrix(sources: DataFrame, targets: DataFrame, key: str = "vec_id
     return rows.withColumn("s", F.explode(known)).select(F.col("s.id").alias("source"), "target", cosine(F.col("s.v"), F.col("t")).alias("similarity"))
 
 
+def distinct_nodes(nodes: DataFrame, key: str, content: list[str]) -> DataFrame:
+    """One row for each content, that of the smallest key; its key stands for the others."""
+    return nodes.groupBy(*content).agg(F.min(key).alias(key))
+
+
 def distinct_edges(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Undirected edges once each, the smaller end first."""
     return edges.where(F.col(a) != F.col(b)).select(F.least(a, b).alias(a), F.greatest(a, b).alias(b)).distinct()

@@ -99,6 +99,18 @@ def excess(spark, d):
     return out(bars.forward_labels(src.supplier_months(spark, d), "price", M), "dt", "sym", ex_ret=7)
 
 
+_TICKS = f"""{QUOTES}, t1 AS (SELECT *, minute // 100 AS hour, mid - lag(mid) OVER (PARTITION BY date, minute // 100, sym_root ORDER BY ns) AS move FROM v),
+t2 AS (SELECT *, sign(move) * sign(lag(move) OVER (PARTITION BY date, hour, sym_root ORDER BY ns)) < 0 AS turned FROM t1)"""
+
+
+@query("intraday_features", f"""WITH {_TICKS} SELECT sym_root, hour, round(covar_pop(move, imb) / nullif(var_pop(CASE WHEN move IS NOT NULL THEN imb END), 0), 5) AS kyle_lambda,
+ count(*) FILTER (turned) AS reversals, round(avg((imb > 0)::INT), 6) AS imbalance_pos_ratio, round(quantile_cont(spread, 0.75) - quantile_cont(spread, 0.25), 6) AS spread_iqr FROM (
+ SELECT sym_root, minute // 100 AS hour, spread, imb, mid - lag(mid) OVER w AS move, sign(mid - lag(mid) OVER w) * lag(s) OVER w < 0 AS turned FROM (SELECT *, sign(mid - lag(mid) OVER (PARTITION BY sym_root, minute // 100 ORDER BY ns)) AS s FROM (SELECT * REPLACE (epoch_ns(date) + ns AS ns) FROM v)) WINDOW w AS (PARTITION BY sym_root, minute // 100 ORDER BY ns)) GROUP BY ALL""")
+def intraday(spark, d):
+    q = _quotes(spark, d).withColumn("hour", F.expr("minute div 100").cast("int")).withColumn("ns", F.unix_date("date").cast("bigint") * 86_400_000_000_000 + F.col("ns"))
+    return out(bars.intraday_features(q, ["sym_root", "hour"]), "sym_root", "hour", "reversals", kyle_lambda=5, imbalance_pos_ratio=6, spread_iqr=6)
+
+
 # -- joins -----------------------------------------------------------------------------
 
 BASE = f"{PANEL}, b AS (SELECT dt, sym, price, qty, vol, n, x, x AS f, round({_AHEAD}, 8) AS ret FROM p)"
@@ -490,6 +502,42 @@ def lag_decay(spark, d):
     return reduce(DataFrame.unionByName, [out(prep.lagged(p, M, ["x"], k).agg(pearson(F.col("price"), F.col("x")).alias("corr")).withColumn("lag", F.lit(k)), "lag", corr=5) for k in range(3)])
 
 
+@query("calibration_bins", f"WITH {PANEL}, e AS (SELECT quantile_cont(qty, [{', '.join(str(k / 10) for k in range(1, 10))}]) AS e FROM p WHERE x IS NOT NULL), c AS (SELECT 1 + len(list_filter(e, lambda q: qty >= q))::INT AS bin, qty, x FROM p, e WHERE x IS NOT NULL) SELECT bin, round(avg(qty), 5) AS pred, round(avg(x), 3) AS outcome, count(*)::BIGINT AS n FROM c GROUP BY 1")
+def calibration(spark, d):
+    return out(evaluate.calibration(src.supplier_months(spark, d), "qty", "x"), "bin", "n", pred=5, outcome=3)
+
+
+@query("ic_histogram", f"WITH {BT} SELECT CASE WHEN ic < -0.5 THEN 0 WHEN ic >= 0.5 THEN 11 ELSE 1 + floor((ic + 0.5) * 10) END::INT AS bin, count(*)::BIGINT AS n FROM x WHERE ic IS NOT NULL GROUP BY 1")
+def ic_histogram(spark, d):
+    return evaluate.histogram(_metrics(spark, d), "ic", -0.5, 0.5, 10)
+
+
+@query("available_dates", f"{_A} INTERSECT {_E} INTERSECT SELECT CAST(l_shipdate AS DATE) FROM lineitem WHERE l_quantity > 30")
+def available(spark, d):
+    return joins.available_dates([*_two(spark, d), src.table(spark, d, "lineitem").where("l_quantity > 30").select(F.to_date("l_shipdate").alias("date"))], "date")
+
+
+@query("group_sizes", f"WITH {PANEL} SELECT dt, count(*)::BIGINT AS n FROM p GROUP BY dt")
+def group_sizes(spark, d):
+    return src.supplier_months(spark, d).groupBy("dt").agg(F.count("*").alias("n"))
+
+
+@query("best_trajectories", "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 0 ORDER BY c_acctbal DESC, c_custkey LIMIT 5")
+def best_trajectories(spark, d):
+    return src.table(spark, d, "customer").where("c_acctbal > 0").select("c_custkey", "c_acctbal").orderBy(F.col("c_acctbal").desc(), "c_custkey").limit(5)
+
+
+@query("nodes_dedupe", "SELECT p_brand, p_size, min(p_partkey) AS p_partkey FROM part GROUP BY ALL")
+def nodes_dedupe(spark, d):
+    return knowledge.distinct_nodes(src.table(spark, d, "part"), "p_partkey", ["p_brand", "p_size"])
+
+
+@query("user_factor", f"WITH {PANEL} SELECT dt, sym, round(qty - avg(qty) OVER (PARTITION BY dt), 5) AS v FROM p")
+def user_factor(spark, d):
+    code = lambda g: g.assign(v=g["qty"] - g["qty"].mean())[["dt", "sym", "v"]]
+    return out(joins.per_group(src.supplier_months(spark, d).select("dt", "sym", "qty"), ["dt"], code, "dt timestamp_ntz, sym long, v double"), "dt", "sym", v=5)
+
+
 # -- vectors, graphs, expressions --------------------------------------------------------
 
 
