@@ -106,7 +106,7 @@ def fast_coder(path: str):
 class Coder:
     """Encodes and decodes texts chunk by chunk; ``most`` bounds the memo in bytes."""
 
-    def __init__(self, path: str, most: int = 128 << 20):
+    def __init__(self, path: str, most: int = 48 << 20):
         self.t, self.fast, self.most = tokenizer(path), fast_coder(path), most
         self.special = [t.content for t in self.t.get_added_tokens_decoder().values()]
         self.chunks: dict[bytes, tuple[bytes, bytes]] = {}

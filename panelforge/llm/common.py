@@ -11,7 +11,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
+import sys
 import tempfile
 import uuid
 import zlib
@@ -144,6 +146,13 @@ def windows(words: np.ndarray, rows: np.ndarray, n: int, seed: int = 0) -> tuple
     return mix(h[at]), at
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on and would keep their peak."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+        trim(0)
+
+
 def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 19):
     """Slices of a batch with about ``most`` bytes of text each; a longer text stands alone."""
     _, offsets = text_buffers(batch.column(batch.schema.get_field_index(column)))
@@ -152,7 +161,7 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 19):
         end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + most, side="right")) - 1)
         yield batch.slice(start, end - start)
         start = end
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 class Words:

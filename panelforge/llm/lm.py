@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, bucket_bits, by_bucket, in_blocks, mix, pack, pack_small, split_count, text_bytes, unpack, unpack_small
+from .common import U64, Words, bucket_bits, by_bucket, give_back, in_blocks, mix, pack, pack_small, split_count, text_bytes, unpack, unpack_small
 
 END, START = U64(0x51ED270B9F3C8A11), U64(0x2545F4914F6CDD1D)
 MESSAGE = "_bucket int, _block int, hashes binary, c binary, d binary, h binary, w binary"
@@ -231,6 +231,7 @@ def _send_bigrams(bits: int):
 
 
 def _score(docs: pa.Table, answers: pa.Table) -> pa.Table:
+    give_back()
     t, found = Tokens(docs), _read(answers)
     c, _ = _unigrams(found)
     _, _, of = t.bigrams()

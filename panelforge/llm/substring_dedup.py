@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Words, bucket_bits, by_bucket, in_ranges, pack, split_count, text_bytes, unpack, windows
+from .common import Words, bucket_bits, by_bucket, give_back, in_ranges, pack, split_count, text_bytes, unpack, windows
 
 NULL_ID = np.iinfo(np.int64).min
 MESSAGE = "_bucket int, _block int, hashes binary"
@@ -169,11 +169,12 @@ def _blocks_and_answers(docs: DataFrame, n: int, block_bytes: int) -> tuple[Data
     return blocks, sent.groupBy("_bucket").applyInArrow(_answer, ANSWER)
 
 
-def digests(docs: DataFrame, n: int = 13, block_bytes: int = 4 << 20) -> DataFrame:
+def digests(docs: DataFrame, n: int = 13, block_bytes: int = 2 << 20) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row."""
     blocks, answers = _blocks_and_answers(docs.select("doc_id", "text"), n, block_bytes)
 
     def each(docs_: pa.Table, answers_: pa.Table) -> pa.Table:
+        give_back()
         w = Words(_texts(docs_))
         gone = removed_words(w, _ids(docs_), _seen_before(answers_), n)
         raw, sha = w.raw.tobytes(), []
@@ -188,7 +189,7 @@ def digests(docs: DataFrame, n: int = 13, block_bytes: int = 4 << 20) -> DataFra
     return blocks.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(each, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame, n: int = 13, block_bytes: int = 4 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, n: int = 13, block_bytes: int = 2 << 20) -> DataFrame:
     """``docs`` with repeated passages cut from ``text`` (the rest keeps its white space) and n_chars to match."""
     # Columns go by number meanwhile: none can clash with the block's.
     names = docs.columns
@@ -197,6 +198,7 @@ def remove_repeats(docs: DataFrame, n: int = 13, block_bytes: int = 4 << 20) ->
     blocks, answers = _blocks_and_answers(docs, n, block_bytes)
 
     def each(docs_: pa.Table, answers_: pa.Table) -> pa.Table:
+        give_back()
         texts = _texts(docs_)
         w = Words(texts)
         gone = removed_words(w, _ids(docs_), _seen_before(answers_), n)
