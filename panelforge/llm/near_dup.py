@@ -223,7 +223,8 @@ def _across(rows: DataFrame, percent: int, cell: int = 1_000_000) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = 75, broadcast_ids: int = 4_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row with a text or without."""
     rows = materialise(_summaries(docs), "summaries")
-    classes = rows.where("n_shingles > 0").groupBy("key", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    # Written first: a join with the plain table can be split where one class has very many rows.
+    classes = materialise(rows.where("n_shingles > 0").groupBy("key", "n_shingles").agg(F.min("doc_id").alias("rep")), "sets")
     known = materialise(rows.where("n_shingles > 0").select("doc_id", "key", "n_shingles").join(classes, ["key", "n_shingles"]).select("doc_id", "rep"), "classes")
     reps = known.where("doc_id = rep").select("doc_id").distinct()
     reps = materialise(rows.where("n_shingles > 0").join(reps, "doc_id", "left_semi").select("doc_id", "sig").dropDuplicates(["doc_id"]), "representatives")
