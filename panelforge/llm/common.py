@@ -260,19 +260,30 @@ def in_blocks(docs: DataFrame, n_blocks: int, key: str = "doc_id") -> DataFrame:
     return _blocked(docs, F.pmod(F.xxhash64(F.col(key), F.lit(77)), F.lit(n_blocks)))
 
 
-def in_ranges(docs: DataFrame, n_blocks: int, key: str = "doc_id") -> DataFrame:
+def in_ranges(docs: DataFrame, n_blocks: int, key: str = "doc_id", coarse: int = 4096) -> DataFrame:
     """The same with blocks that are ranges of the key: a key of an earlier block is smaller.
 
-    Null keys stand in the first block.  The driver holds one boundary a block.
+    Up to ``coarse`` ranges lie between quantiles of the key, which the driver holds; for
+    more blocks each of them is cut into equal steps.  Null keys stand in the first block.
     """
     if n_blocks < 2:
         return _blocked(docs, F.lit(0))
-    at = docs.select(F.col(key).cast("double").alias("k")).approxQuantile("k", [i / n_blocks for i in range(1, n_blocks)], min(0.05, 0.1 / n_blocks))
+    k = F.col(key).cast("double")
+    parts = min(n_blocks, coarse)
+    fine = math.ceil(n_blocks / parts)
+    at = docs.select(k.alias("k")).approxQuantile("k", [i / parts for i in range(1, parts)], min(0.05, 0.1 / parts))
     edges = sorted(set(at))
     if not edges:
         return _blocked(docs, F.lit(0))
     from pyspark.ml.feature import Bucketizer
 
     cut = Bucketizer(splits=[-math.inf, *edges, math.inf], inputCol="_key", outputCol="_range")
-    found = cut.transform(docs.withColumn("_key", F.coalesce(F.col(key).cast("double"), F.lit(-1e300))))
-    return _blocked(found.drop("_key"), F.col("_range")).drop("_range")
+    found = cut.transform(docs.withColumn("_key", F.coalesce(k, F.lit(-1e300))))
+    block = F.col("_range")
+    if fine > 1:
+        ends = docs.agg(F.min(k), F.max(k)).first()
+        low, high = F.lit([min(ends[0], edges[0]), *edges]), F.lit([*edges, max(ends[1], edges[-1]) + 1.0])
+        i = block.cast("int") + 1
+        step = F.try_divide(F.col("_key") - F.element_at(low, i), F.element_at(high, i) - F.element_at(low, i))
+        block = block * fine + F.least(F.greatest(F.floor(F.coalesce(step, F.lit(0.0)) * fine), F.lit(0)), F.lit(fine - 1))
+    return _blocked(found.withColumn("_range", block).drop("_key"), F.col("_range")).drop("_range")

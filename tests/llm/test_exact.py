@@ -57,6 +57,16 @@ def test_packing():
     assert sum(s.stop - s.start for _, s in found) == 1000 and all(((h[s] >> np.uint64(60)) == b).all() for b, s in found)
 
 
+@pytest.mark.parametrize(("blocks", "coarse"), [(1, 8), (7, 8), (40, 4), (30, 2)])
+def test_blocks_are_ranges(spark, blocks, coarse):
+    rng = random.Random(2)
+    ids = [rng.randrange(10**6) ** 2 for _ in range(900)] + [5] * 40 + [None]
+    df = common.in_ranges(spark.createDataFrame([(i,) for i in ids], "doc_id long"), blocks, coarse=coarse)
+    got = sorted((r["b"], r["lo"], r["hi"]) for r in df.where("doc_id is not null").groupBy(F.col("_block").alias("b")).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).collect())
+    assert all(x[2] < y[1] for x, y in zip(got, got[1:])) and df.count() == len(ids)
+    assert len(got) >= min(blocks, 3) and df.where("doc_id is null").first()["_block"] == 0
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(500, 540)]
