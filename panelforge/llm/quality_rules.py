@@ -2,10 +2,14 @@
 
 DataFrame functions only.  Every document gets a vector of transformed statistics;
 per (lang, source) a minimum-covariance-determinant estimate of its centre and
-scatter is found by concentration steps: start from medians and quartile scales, keep
-the ``h`` share of rows with the smallest Mahalanobis distance, recompute mean and
-covariance from them, repeat.  Rows are rejected by their distance under the last
-estimate, scaled so that its median is that of a chi-square variable.
+scatter is found by concentration steps from the four starts of ``_starts``: keep the
+``h`` share of rows with the smallest Mahalanobis distance, recompute mean and
+covariance from them, repeat until the determinant falls no more.  The estimate of the
+smallest determinant is the core.  ``steps`` more steps widen it for precision to the
+``most`` share of rows, or to those near it (REWEIGHT) where these are fewer, so junk of
+more than a quarter of a group stays out.  Rows are rejected by their distance under the
+last estimate, scaled so that its median is that of a chi-square variable.  Determinants are those of the covariance with the
+floors of VECTOR added, which concentration steps lower too.
 
 All reductions (quantile sketches, sums of products) merge partial results, so a
 group with a third of all rows is no task of its own.  The group table has one row a
@@ -33,6 +37,8 @@ _SYMBOLS = "#*$%&|<>"
 VECTOR = {"log_words": 0.5, "log_word_length": 0.15, "symbol_share": 0.06, "repeat_share": 0.12, "dup_lines": 0.5}
 CHI2_MEDIAN = 4.351  # of a chi-square variable with as many degrees as VECTOR
 CHI2_CUT = 30.86  # its quantile at 0.99999
+REWEIGHT = 12.83  # its quantile at 0.975
+FALL = 1e-3  # of a log determinant; less than that is the error of the quantile sketches
 
 
 def base_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -89,7 +95,9 @@ def _distance(centre: list[str], factor: list[list[str]]) -> Column:
 _P = len(VECTOR)
 _M = [f"m{i}" for i in range(_P)]
 _L = [[f"l{i}{k}" for k in range(i + 1)] for i in range(_P)]
+_FLAT = [x for r in _L for x in r]
 _KEYS = ["_lang", "_source"]
+_ESTIMATE = [*_KEYS, "_start", "n", "_det", *_M, *_FLAT]
 
 
 def _cholesky(groups: DataFrame) -> DataFrame:
@@ -104,33 +112,76 @@ def _cholesky(groups: DataFrame) -> DataFrame:
     return groups
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    quartiles = [F.percentile_approx(name, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q{i}") for i, name in enumerate(VECTOR)]
-    groups = rows.groupBy(*_KEYS).agg(F.count("*").alias("n"), *quartiles)
-    cols = [F.col(f"q{i}")[1].alias(f"m{i}") for i in range(_P)]
-    for i, floor in enumerate(VECTOR.values()):
-        scale = (F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / F.lit(1.349)
-        cols += [(scale * scale + F.lit(floor * floor) if i == k else F.lit(0.0)).alias(f"c{i}{k}") for k in range(i + 1)]
-    return _cholesky(groups.select(*_KEYS, "n", *cols)).select(*_KEYS, "n", *_M, *[x for r in _L for x in r])
+def _starts(rows: DataFrame) -> DataFrame:
+    """Four estimates a group: medians and quartile scales, shortest halves, lower and upper quartiles with the scale of their side.
 
-
-def _step(rows: DataFrame, groups: DataFrame, h: float) -> DataFrame:
-    near = materialise(
-        rows.join(groups, _KEYS).withColumn("_d", _distance(_M, _L)).groupBy(*_KEYS).agg(F.percentile_approx("_d", h, 1000).alias("_cut")).join(groups, _KEYS), "mcd-cut"
-    )
+    Whatever stands on one side of the rest, one start stays clear of it up to half the rows.
+    """
+    grid = [k / 20 for k in range(21)]
+    quantiles = [F.percentile_approx(name, F.array(*[F.lit(x) for x in grid]), 1000).alias(f"q{i}") for i, name in enumerate(VECTOR)]
+    groups = materialise(rows.groupBy(*_KEYS).agg(F.count("*").alias("n"), *quantiles), "mcd-quantiles")
+    made = []
+    for start in range(4):
+        cols = []
+        for i, floor in enumerate(VECTOR.values()):
+            q = lambda k: F.col(f"q{i}")[k]  # noqa: B023, E731
+            if start == 1:
+                halves = F.array_min(F.transform(F.sequence(F.lit(0), F.lit(10)), lambda k: F.struct((q(k + 10) - q(k)).alias("width"), ((q(k + 10) + q(k)) / 2).alias("centre"))))  # noqa: B023
+                centre, width = halves["centre"], halves["width"]
+            else:
+                k, low, high, sides = {0: (10, 5, 15, 1), 2: (5, 5, 10, 2), 3: (15, 10, 15, 2)}[start]
+                centre, width = q(k), sides * (q(high) - q(low))
+            scale = width / F.lit(1.349)
+            cols += [centre.alias(f"m{i}"), *[(scale * scale + F.lit(floor * floor) if i == k else F.lit(0.0)).alias(f"c{i}{k}") for k in range(i + 1)]]
+        made.append(groups.select(*_KEYS, F.lit(start).alias("_start"), "n", F.lit(float("inf")).alias("_det"), *cols))
+    every = made[0]
+    for x in made[1:]:
+        every = every.unionByName(x)
+    return _cholesky(every).select(*_ESTIMATE)
+
+
+def _fit(rows: DataFrame, groups: DataFrame, limit: str) -> DataFrame:
+    """The estimates of the rows at most ``limit`` from ``groups``; _before is the log determinant of those."""
     names, floors = list(VECTOR), list(VECTOR.values())
     centred = [F.col(c) - F.col(m) for c, m in zip(names, _M, strict=True)]  # about the last centre: no cancellation
-    inside = rows.join(near, _KEYS).withColumn("_d", _distance(_M, _L)).where(F.col("_d") <= F.col("_cut"))
+    inside = rows.join(groups, _KEYS).withColumn("_d", _distance(_M, _L)).where(F.col("_d") <= F.col(limit))
     sums = [F.avg(centred[i]).alias(f"a{i}") for i in range(_P)] + [F.avg(centred[i] * centred[k]).alias(f"b{i}{k}") for i in range(_P) for k in range(i + 1)]
-    made = inside.groupBy(*_KEYS).agg(F.max("n").alias("n"), *[F.max(m).alias(m) for m in _M], *sums)
+    made = inside.groupBy(*_KEYS, "_start").agg(F.max("n").alias("n"), F.max("_det").alias("_before"), *[F.max(m).alias(m) for m in _M], *sums)
     cov = [
         (F.col(f"b{i}{k}") - F.col(f"a{i}") * F.col(f"a{k}") + (F.lit(floors[i] ** 2) if i == k else F.lit(0.0))).alias(f"c{i}{k}") for i in range(_P) for k in range(i + 1)
     ]
-    made = made.select(*_KEYS, "n", *[(F.col(f"m{i}") + F.col(f"a{i}")).alias(f"m{i}") for i in range(_P)], *cov)
-    return materialise(_cholesky(made).select(*_KEYS, "n", *_M, *[x for r in _L for x in r]), "mcd-step")
+    made = made.select(*_KEYS, "_start", "n", "_before", *[(F.col(f"m{i}") + F.col(f"a{i}")).alias(f"m{i}") for i in range(_P)], *cov)
+    det = sum((2 * F.log(F.col(f"l{i}{i}")) for i in range(1, _P)), 2 * F.log(F.col("l00")))
+    return materialise(_cholesky(made).withColumn("_det", det).select(*_ESTIMATE, "_before"), "mcd-step")
+
+
+def _step(rows: DataFrame, groups: DataFrame, h: float) -> DataFrame:
+    cuts = rows.join(groups, _KEYS).withColumn("_d", _distance(_M, _L)).groupBy(*_KEYS, "_start").agg(F.percentile_approx("_d", h, 1000).alias("_cut"))
+    return _fit(rows, materialise(cuts.join(groups, [*_KEYS, "_start"]), "mcd-cut"), "_cut")
+
+
+def _least_determinant(rows: DataFrame, h: float) -> DataFrame:
+    """One estimate a group: the smallest determinant that steps from any start come to."""
+    active, found = materialise(_starts(rows), "mcd-start"), None
+    while True:
+        made = _step(rows, active, h)
+        found = made if found is None else found.unionByName(made)
+        active = made.where(F.col("_det") < F.col("_before") - FALL).drop("_before")
+        if active.isEmpty():
+            break
+    best = found.groupBy(*_KEYS).agg(F.min_by(F.struct("_start", "n", "_det", *_M, *_FLAT), F.struct("_det", "_start")).alias("x"))
+    return materialise(best.select(*_KEYS, "x.*"), "mcd-best")
 
 
-def robust_outliers(stats: DataFrame, steps: int = 3, h: float = 0.75, min_group: int = 50, cut: float = CHI2_CUT) -> DataFrame:
+def _scaled(rows: DataFrame, groups: DataFrame, most: float) -> DataFrame:
+    """``groups`` with _scale; the floors make the scatter wider than the core's: distances are scaled down, never up."""
+    quantiles = F.percentile_approx("_d", F.array(F.lit(0.5), F.lit(most)), 1000).alias("_q")
+    found = rows.join(groups, _KEYS).withColumn("_d", _distance(_M, _L)).groupBy(*_KEYS).agg(quantiles).join(groups, _KEYS)
+    scale = F.greatest(F.col("_q")[0] / F.lit(CHI2_MEDIAN), F.lit(1.0))
+    return materialise(found.select(*_ESTIMATE, scale.alias("_scale"), F.least(F.col("_q")[1], F.lit(REWEIGHT) * scale).alias("_near")), "mcd-scale")
+
+
+def robust_outliers(stats: DataFrame, steps: int = 3, h: float = 0.55, most: float = 0.75, min_group: int = 50, cut: float = CHI2_CUT) -> DataFrame:
     """``stats`` (with BASE, lang, source and usable boolean) with distance and outlier.
 
     ``distance`` is null where the row is not usable or no group is large enough.
@@ -149,17 +200,11 @@ def robust_outliers(stats: DataFrame, steps: int = 3, h: float = 0.75, min_group
     )
     rows = materialise(rows.join(level, ["_lang0", "_source0"], "left"), "mcd-rows")
     use = rows.where("usable").select(*_KEYS, *VECTOR)
-    groups = materialise(_start(use), "mcd-start")
+    groups = _scaled(use, _least_determinant(use, h), most)
     for _ in range(steps):
-        groups = _step(use, groups, h)
-    scaled = materialise(
-        use.join(groups, _KEYS).withColumn("_d", _distance(_M, _L)).groupBy(*_KEYS).agg(F.percentile_approx("_d", 0.5, 1000).alias("_median")).join(groups, _KEYS)
-        .where(F.col("n") >= min_group),
-        "mcd-scale",
-    )
-    # The floors make the scatter wider than the core's: distances are scaled down, never up.
-    scale = F.greatest(F.col("_median") / F.lit(CHI2_MEDIAN), F.lit(1.0))
-    out = rows.join(scaled.drop("n"), _KEYS, "left").withColumn("distance", F.when(F.col("usable"), _distance(_M, _L) / scale))
+        groups = _scaled(use, _fit(use, groups, "_near").drop("_before"), most)
+    groups = groups.where(F.col("n") >= min_group).select(*_KEYS, *_M, *_FLAT, "_scale")
+    out = rows.join(groups, _KEYS, "left").withColumn("distance", F.when(F.col("usable"), _distance(_M, _L) / F.col("_scale")))
     return out.select(*stats.columns, "distance", F.coalesce(F.col("distance") > cut, F.lit(False)).alias("outlier"))
 
 

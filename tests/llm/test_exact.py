@@ -118,6 +118,18 @@ def test_determinant_steps(spark):
     np.testing.assert_allclose([got[r[0]]["distance"] for r in rows], d, rtol=0.05, atol=0.05)
 
 
+@pytest.mark.parametrize("share", [0.2, 0.25, 0.34, 0.45])
+def test_copies_of_junk_are_outliers(spark, share):
+    """Copies that pass a quarter of a group do not become its core."""
+    rng = np.random.default_rng(7)
+    rows = [(k, "en", "s", int(rng.integers(100, 600)), 0, int(rng.integers(0, 4)), 0, 0) for k in range(300)]
+    rows = [(k, lang, s, n, n * 5 + int(rng.integers(0, 60)), *rest) for k, lang, s, n, _, *rest in rows]
+    rows += [(1000 + k, "en", "s", 300, 1500, 450, 0, 0) for k in range(round(300 * share / (1 - share)))]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long").withColumn("usable", F.lit(True))
+    got = {r["doc_id"]: r["outlier"] for r in quality_rules.robust_outliers(df).collect()}
+    assert all(out == (k >= 1000) for k, out in got.items())
+
+
 @pytest.mark.parametrize("block", [10_000, 1 << 22])
 def test_repeated_passages(docs, texts, block):
     first, n = {}, 13
