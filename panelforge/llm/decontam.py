@@ -4,6 +4,9 @@
 2. Each position of a test item gets the shortest n-gram (2 to 8 words) expected at
    most ``expected`` times in a corpus of that size if words were independent: seeds
    stay rare as the corpus grows, and copies of an item don't make its own seeds common.
+   Beside these each item has its rarest word pair among every third position, from each
+   of the first three, however often it is expected: an item of frequent words has seeds
+   in a corpus of any size, and a copy with every third word replaced keeps one.
 3. Every text is scanned for the seeds; each hit fixes an item and a diagonal.
 4. The words around the diagonal are aligned locally with the item (match 2, mismatch
    -1, gap -1); ``score`` is the best sum over that of a full copy.  Substitutions,
@@ -112,12 +115,19 @@ def make_seeds(items: Items, counts: np.ndarray, total: int, expected: float) ->
     found: dict[int, list[tuple[np.uint64, int, int]]] = {}
     pairs = []
     for i, at in enumerate(items.words):
+        pair = log_p[at[:-1]] + log_p[at[1:]]
+        always = {k + 3 * int(pair[k::3].argmin()) for k in range(min(3, len(pair)))}
         for pos in range(len(at) - 1):
             most = min(LONGEST, len(at) - pos)
             n = next((n for n in range(2, most + 1) if np.log(max(total, 1)) + log_p[at[pos : pos + n]].sum() <= np.log(expected)), most)
             if n < most or n == LONGEST or np.log(max(total, 1)) + log_p[at[pos : pos + n]].sum() <= np.log(expected):
                 found.setdefault(n, []).append((_key(at, np.array([pos]), n)[0], i, pos))
                 pairs.append(_key(at, np.array([pos]), 2)[0])
+            else:
+                n = 0
+            if pos in always and n != 2:
+                found.setdefault(2, []).append((_key(at, np.array([pos]), 2)[0], i, pos))
+                pairs.append(found[2][-1][0])
     out = Seeds([], [], [], [], [], np.unique(np.array(pairs, np.uint64)))
     for n, rows in sorted(found.items()):
         rows.sort()

@@ -130,6 +130,19 @@ def test_copies_of_junk_are_outliers(spark, share):
     assert all(out == (k >= 1000) for k, out in got.items())
 
 
+@pytest.mark.parametrize(("n", "every"), [(5, 99), (7, 99), (15, 3), (30, 3)])
+def test_frequent_words_have_seeds_in_large_corpora(n, every):
+    """Copies, whole or with every third word replaced, of items of words with 3% of 5e9 words each."""
+    item = np.arange(n) % 30
+    items = decontam.Items(np.array([1]), np.arange(30, dtype=np.uint64), [item])
+    seeds = decontam.make_seeds(items, np.full(30, 150_000_000), 5_000_000_000, 1.0)
+    for first in range(3):
+        text = np.where(np.arange(n) % every == (first if every == 3 else n), -1, item)
+        at = np.concatenate((np.full(4, -1), text, np.full(4, -1)))
+        found = decontam.match_words(at, np.zeros(len(at), np.int64), np.array([0, len(at)]), items, seeds, 0.45)
+        assert [x[:2] for x in found] == [(0, 0)]
+
+
 @pytest.mark.parametrize("block", [10_000, 1 << 22])
 def test_repeated_passages(docs, texts, block):
     first, n = {}, 13
