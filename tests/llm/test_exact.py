@@ -342,39 +342,61 @@ def test_signature_estimates():
 
 
 def test_language_model(docs, texts):
+    """Counts, base scores and scores of a trigram model counted here; weights by the operator's EM and by a plain one."""
     tokens = {i: [*words(lower(t)), None] for i, t in texts.items()}
     crc = {i: zlib.crc32(str(i).encode()) for i in texts}
     train = [i for i in texts if crc[i] % 5 != 1]
-    c = Counter(w for i in train for w in tokens[i])
-    two = Counter(p for i in train for p in zip(["<s>", *tokens[i]], tokens[i]))
-    h = Counter(p for i in train for p in ["<s>", *tokens[i][:-1]])
-    n, v = sum(c.values()), len(c)
+
+    def counted(ids):
+        one = Counter(w for i in ids for w in tokens[i])
+        two = Counter(p for i in ids for p in zip(["<s>", *tokens[i]], tokens[i]))
+        three = Counter(p for i in ids for p in zip(["<s>", *tokens[i]], tokens[i], tokens[i][1:]))
+        last = Counter(w for i in ids for w in ["<s>", *tokens[i][:-1]])
+        return one, two, three, last, sum(one.values())
+
+    def looks(i, counts):
+        """(history count, last word's count, shares by trigram, bigram, unigram) of each token."""
+        one, two, three, last, n = counts
+        t = ["<s>", *tokens[i]]
+        for k in range(1, len(t)):
+            h = two[t[k - 2], t[k - 1]] if k > 1 else last["<s>"]
+            pair = two[t[k - 1], t[k]]
+            yield h, last[t[k - 1]], (three[tuple(t[k - 2 : k + 1])] if k > 1 else pair, h), (pair, last[t[k - 1]]), (one[t[k]], n)
+
+    full, gone = counted(train), [i for i in train if crc[i] // 5 % 10 == 0]
+    kept = counted([i for i in train if i not in gone])
+    c, v, n = full[0], len(full[0]), full[4]
     got = {r["doc_id"]: r for r in lm.lm_scores(docs, 20_000).collect()}
     for i, t in tokens.items():
         r = got[i]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (crc[i] % 5 == 1, len(t), sum(c[w] > 0 for w in t), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t), abs=1e-6)
-    # The weights by a plain EM over the deleted documents' tokens, then every score.
-    gone = [i for i in train if crc[i] // 5 % 10 == 0]
-    stay = [i for i in train if i not in gone]
-    ck, nk = Counter(w for i in stay for w in tokens[i]), sum(len(tokens[i]) for i in stay)
-    tk, hk = Counter(p for i in stay for p in zip(["<s>", *tokens[i]], tokens[i])), Counter(p for i in stay for p in ["<s>", *tokens[i][:-1]])
-    level = lambda x: 0 if x == 0 else int(math.log2(x)) + 1
-    seen = {}
+    level = lambda h, o: int(math.log2(h)) + 1 if h else lm.LEVELS + (int(math.log2(o)) + 1 if o else 0)
+    quant = lambda x, of: int(lm.code(np.array([x]), np.array([of]))[0])
+    seen, keys = {}, Counter()
     for i in gone:
-        for p in zip(["<s>", *tokens[i]], tokens[i]):
-            seen.setdefault(level(hk[p[0]]), []).append((tk[p] / hk[p[0]] if hk[p[0]] else 0, ck[p[1]] / nk, 1 / (v + 1)))
-    overall = em(np.array([x for s in seen.values() for x in s]), np.full(3, 1 / 3))
-    weights = {k: em(np.array(s), overall) for k, s in seen.items()}
-    weights[0] = np.array([0, *weights.get(0, overall)[1:]]) / weights.get(0, overall)[1:].sum()
-    err = []
+        for k, (h, o, *shares) in enumerate(looks(i, kept)):
+            if k:  # a document's first token has no trigram to learn from
+                seen.setdefault(level(h, o), []).append([a / b if b else 0 for a, b in shares] + [1 / (v + 1)])
+                keys[level(h, o) | sum(quant(*s) << m for s, m in zip(shares, (24, 16, 8)))] += 1
+    ks = np.array(sorted(keys))
+    weights = lm.expectation_maximisation(ks, np.array([keys[k] for k in ks], float), v)
+    overall = em(np.array([x for s in seen.values() for x in s]), np.full(4, 0.25))
+    plain = {k: em(np.array(s), overall) for k, s in seen.items()}
     for i, t in tokens.items():
-        want = 0.0
-        for a, b in zip(["<s>", *t], t):
-            x = weights.get(level(h[a]), overall)
-            want += math.log10(x[0] * two[a, b] / max(h[a], 1) + x[1] * c[b] / n + x[2] / (v + 1))
-        err.append(abs(got[i]["score"] - want) / len(t))
-    assert max(err) < 0.01  # the histogram's steps are an eighth of an octave
+        same = near = 0.0
+        for h, o, *shares in looks(i, full):
+            p = np.array([a / b if b else 0 for a, b in shares] + [1 / (v + 1)])
+            same += math.log10(weights[level(h, o)] @ p)
+            near += math.log10(plain.get(level(h, o), overall) @ p)
+        assert got[i]["score"] == pytest.approx(same, abs=1e-6 * len(t))
+        assert abs(got[i]["score"] - near) < 0.03 * len(t)
+
+
+def test_histograms_pack():
+    keys, weight = np.array([5, 9, 5, 1 << 30]), np.array([1, 2, 3, 4])
+    k, w = lm.unpack_histograms([lm.pack_histogram(keys, weight), lm.pack_histogram(keys[:0], weight[:0])])
+    assert dict(zip(k.tolist(), w.tolist())) == {5: 4, 9: 2, 1 << 30: 4}
 
 
 def em(p, a, rounds=60):
