@@ -126,7 +126,7 @@ class Tokens:
         """Every position's bigram: (type counts known here, candidates' place among types, type of each position)."""
         h = mix(mix(self.types[self.before]) * U64(0xD6E8FEB86659FD93) + self.token)
         types, first, of, local = self.grams(h, np.arange(len(self.token)))
-        asked = (one.t[self.before[first]] > 1) & (one.t[self.at[first]] > 1)
+        asked = one.many[self.before[first]] & one.many[self.at[first]]
         return types, first, of, local, asked, h
 
     def trigrams(self, two: Counts, of2: np.ndarray, h2: np.ndarray):
@@ -134,25 +134,29 @@ class Tokens:
         some = np.flatnonzero(~self.first)
         h = mix(mix(h2[some - 1] ^ U64(0x9E3779B97F4A7C15)) * U64(0xD6E8FEB86659FD93) + self.token[some])
         types, first, of, local = self.grams(h, some)
-        asked = (two.t[of2[first - 1]] > 1) & (two.t[of2[first]] > 1)
+        asked = two.many[of2[first - 1]] & two.many[of2[first]]
         return types, first, of, local, asked, some
 
 
 class Counts:
-    """Corpus counts of a block's types: those asked for from the answers, the others as known here."""
+    """Corpus counts of a block's types: those asked for from the answers, the others as known here.
+
+    ``many``: whether a type occurs more than once; ``d`` is known of types that deleted
+    documents of the block hold, which is where it is used.
+    """
 
     def __init__(self, local, asked: np.ndarray | slice, answers: list[bytes]):
-        self.c, self.t, self.d = (x.copy() for x in local)
-        parts: list[list[np.ndarray]] = [[], [], []]
-        for x in answers:
-            at = 0
-            for k in range(3):
-                size = int.from_bytes(x[at : at + 8], "little")
-                parts[k].append(unpack_small(x[at + 8 : at + 8 + size]))
-                at += 8 + size
-        for mine, got in zip((self.c, self.t, self.d), parts, strict=True):
-            if got:
-                mine[asked] = np.concatenate(got).astype(np.int64)
+        c, t, d = local
+        self.c, self.many, self.d = c.copy(), t > 1, d.copy()
+        parts = [unsized(x) for x in answers]
+        if not parts:
+            return
+        here = np.arange(len(c))[asked]
+        sizes = [len(unpack_small(x[0])) for x in parts]
+        self.c[here] = np.concatenate([unpack_small(x[0]) for x in parts])
+        if len(parts[0]) > 1:
+            self.many[here] = np.concatenate([np.unpackbits(np.frombuffer(x[1], np.uint8), count=n) for x, n in zip(parts, sizes, strict=True)])
+            self.d[here[d[here] > 0]] = np.concatenate([unpack_small(x[2]) for x in parts])
 
     @property
     def kept(self) -> np.ndarray:
@@ -162,11 +166,35 @@ class Counts:
 # -- messages --------------------------------------------------------------------
 
 
+def squeeze(data: bytes) -> bytes:
+    """Compressed where that is smaller, behind its size (0: as it is)."""
+    small = pa.compress(data, codec="zstd", asbytes=True) if len(data) > 64 else data
+    return len(data).to_bytes(4, "little") + small if len(small) < len(data) else bytes(4) + data
+
+
+def loosen(data: bytes) -> bytes:
+    size = int.from_bytes(data[:4], "little")
+    return pa.decompress(data[4:], size, codec="zstd", asbytes=True) if size else data[4:]
+
+
+def _sized(*parts: bytes) -> bytes:
+    return b"".join([len(x).to_bytes(8, "little") + x for x in map(squeeze, parts)])
+
+
+def unsized(data: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(data):
+        size = int.from_bytes(data[at : at + 8], "little")
+        out.append(loosen(data[at + 8 : at + 8 + size]))
+        at += 8 + size
+    return out
+
+
 def _messages(block: int, bits: int, hashes, counts, h=None, x=None, extra: list[tuple] = ()) -> pa.Table:
     rows: list[tuple] = list(extra)
     for bucket, s in by_bucket(hashes, bits):
         some = np.flatnonzero(counts[2][s]) + s.start
-        rows.append((bucket, block, pack(hashes[s]), *[pack_small(v[s]) for v in counts], *[b"" if v is None else pack_small(v[some]) for v in (h, x)]))
+        rows.append((bucket, block, *map(squeeze, (pack(hashes[s]), *[pack_small(v[s]) for v in counts], *[b"" if v is None else pack_small(v[some]) for v in (h, x)]))))
     cols = list(zip(*rows, strict=True)) if rows else [()] * 8
     kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
     return pa.table({n: pa.array(list(v), k) for n, v, k in zip(("_bucket", "_block", "hashes", *PLANES), cols, kinds, strict=True)})
@@ -181,10 +209,6 @@ def _answers(kind: int, table: pa.Table, data: list[bytes], extra: tuple[int, by
     return pa.table({"_block": pa.array(blocks, pa.int64()), "kind": pa.array(kinds, pa.int32()), "bucket": pa.array([bucket] * len(blocks), pa.int32()), "data": pa.array(data, pa.binary())})
 
 
-def _sized(*parts: bytes) -> bytes:
-    return b"".join([len(x).to_bytes(8, "little") + x for x in parts])
-
-
 def pack_histogram(keys: np.ndarray, weight: np.ndarray) -> bytes:
     distinct, inverse = np.unique(keys, return_inverse=True)
     return _sized(pack(distinct.astype(np.uint64)), pack_small(np.bincount(inverse, weight.astype(float), len(distinct))))
@@ -193,9 +217,9 @@ def pack_histogram(keys: np.ndarray, weight: np.ndarray) -> bytes:
 def unpack_histograms(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     keys, weight = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
     for x in data:
-        n = int.from_bytes(x[:8], "little")
-        keys.append(unpack(x[8 : 8 + n]))
-        weight.append(unpack_small(x[16 + n :]))
+        k, w = unsized(x)
+        keys.append(unpack(k))
+        weight.append(unpack_small(w))
     return np.concatenate(keys).astype(np.int64), np.concatenate(weight).astype(np.int64)
 
 
@@ -208,12 +232,16 @@ def _count(kind: int):
             merged = pack_histogram(*unpack_histograms(table.column("hashes").to_pylist()))
             one = pa.table({"_bucket": pa.array([bucket], pa.int32()), "_block": pa.array([bucket], pa.int64())})
             return _answers(HISTOGRAM, one, [merged])
-        parts = [unpack(x) for x in table.column("hashes").to_pylist()]
-        planes = [np.concatenate([unpack_small(x) for x in table.column(p).to_pylist()]).astype(np.int64) for p in PLANES]
+        parts = [unpack(loosen(x)) for x in table.column("hashes").to_pylist()]
+        planes = [np.concatenate([unpack_small(loosen(x)) for x in table.column(p).to_pylist()]).astype(np.int64) for p in PLANES]
         types, at = np.unique(np.concatenate(parts), return_inverse=True)
         c, t, d = (np.bincount(at, x.astype(float), len(types)).astype(np.int64) for x in planes[:3])
         bounds = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
-        data = [_sized(*[pack_small(v[at[a:b]]) for v in (c, t, d)]) for a, b in zip(bounds, bounds[1:], strict=False)]
+        data = []
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            mine = at[a:b]
+            rest = (np.packbits(t[mine] > 1).tobytes(), pack_small(d[mine[planes[2][a:b] > 0]])) if kind < 3 else ()
+            data.append(_sized(pack_small(c[mine]), *rest))
         if kind == 1:
             word = types != START
             return _answers(kind, table, data, (SUMS, np.array([c[word].sum(), d[word].sum(), (c[word] > 0).sum()], dtype="<i8").tobytes()))
