@@ -233,9 +233,14 @@ def split_count(total: int, each: int, least: int = 1) -> int:
     return max(least, math.ceil(total / each))
 
 
+def grown(each: int, total: int, most: int = 16, parts: int = 1 << 16) -> int:
+    """The size of a part: ``each``, or what makes ``parts`` of the total, up to ``most`` times as much."""
+    return min(each * most, max(each, total // parts))
+
+
 def bucket_bits(entries: int, each: int = 1 << 20) -> int:
-    """Buckets, as a power of two, of about ``each`` entries."""
-    return max(3, math.ceil(math.log2(max(1, entries) / each))) if entries else 3
+    """Buckets, as a power of two, of about ``each`` entries, eight times as many where there are very many."""
+    return max(3, math.ceil(math.log2(max(1, entries) / grown(each, entries, 8, 1 << 14)))) if entries else 3
 
 
 def by_bucket(hashes: np.ndarray, bits: int):

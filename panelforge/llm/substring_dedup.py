@@ -5,30 +5,35 @@
 2. A bucket confirms recurring windows and answers each block with one bit per window:
    whether an earlier block holds it.  Blocks are ranges, so that means a document with
    a smaller id.  A window that every document holds costs one entry a block.
-3. A block joins its windows that recur (in an earlier block, or in a smaller document
-   of its own) to maximal passages, compiles them into an Aho-Corasick automaton over
-   word numbers, and streams all its documents through it.  Each occurrence found is
-   checked window by window against the ids, and its words are removed.
+3. A block names its confirmed passages: windows that recur (in an earlier block, or in
+   a smaller document of its own) and always follow each other, by the words of one
+   occurrence and their first holder.  They are compiled into Aho-Corasick automata over
+   word numbers, through which all documents of the block are streamed.  Occurrences come
+   from the automata alone; one in a document behind the first holder is removed.
 
-Blocks are the shards: an automaton holds the passages of ``block_bytes`` of text and no
-more, whatever the corpus.  The texts are shuffled once, the answers are bits.
+Blocks are the shards: a block's automata hold the passages that occur in it, so every
+document meets every passage it has; each of at most ``shard`` words, whatever the corpus.
+The texts are shuffled once, the answers are bits.  Blocks and buckets grow with the
+corpus, within bounds, so that messages stay worth their heads.
 
 Defined results: null and empty texts have no words; texts of fewer than ``n`` words lose
 nothing; rows that share a doc_id don't remove from each other; a null doc_id counts as
-smaller than any other; a very long text is a block's member like any other; an empty
-table gives an empty result.
+smaller than any other; a very long text is a block's member like any other; of equal
+passages the one in the smallest doc_id stays, in all rows that have that id; other
+columns keep their values, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Words, bucket_bits, by_bucket, give_back, in_ranges, pack, split_count, text_bytes, unpack, windows
+from .common import Words, bucket_bits, by_bucket, give_back, grown, in_ranges, pack, split_count, text_bytes, unpack, windows
 
 NULL_ID = np.iinfo(np.int64).min
 MESSAGE = "_bucket int, _block int, hashes binary"
@@ -94,77 +99,89 @@ def _as_text(numbers: np.ndarray) -> str:
 LETTERS = 0x10FFFF - 0x800 - 1
 
 
-def removed_words(w: Words, ids: np.ndarray, before: np.ndarray, n: int) -> np.ndarray:
-    """Which words of a block's documents are removed; ``before``: by sorted distinct window hash."""
-    gone = np.zeros(len(w), dtype=bool)
+@dataclass
+class Passages:
+    """Confirmed passages of a block: the words of one occurrence each, and who holds them first."""
+
+    first: np.ndarray  # place of the first word of that occurrence
+    last: np.ndarray  # one past its last word
+    earlier: np.ndarray  # an earlier block holds the passage
+    holder: np.ndarray  # else: the smallest id of the block that does
+
+
+def passages(w: Words, ids: np.ndarray, before: np.ndarray, n: int) -> Passages:
+    """The recurring passages of a block; ``before``: by sorted distinct window hash.
+
+    Windows that always follow each other, with the same first holder, form one passage,
+    so each occurrence of a window is part of an occurrence of its passage.
+    """
+    none = np.zeros(0, np.int64)
     hashes, at = windows(w.hashes, w.rows, n)
     if not len(hashes):
-        return gone
-    distinct, inverse = np.unique(hashes, return_inverse=True)
+        return Passages(none, none, none.astype(bool), none)
+    distinct, witness, of = np.unique(hashes, return_index=True, return_inverse=True)
     mine = ids[w.rows[at]]
-    lowest = np.full(len(distinct), np.iinfo(np.int64).max)
-    np.minimum.at(lowest, inverse, mine)
-    repeat = np.zeros(len(w), dtype=bool)
-    repeat[at] = before[inverse] | (mine > lowest[inverse])
-    starts = np.flatnonzero(repeat)
-    if not len(starts):
-        return gone
-    # Maximal passages: runs of windows that recur, within one document.
-    new = np.flatnonzero((np.diff(starts, prepend=-2) > 1) | (np.diff(w.rows[starts], prepend=-1) != 0))
-    first, last = starts[new], starts[np.append(new[1:], len(starts)) - 1] + n
-    inside = np.zeros(len(w) + 1, dtype=np.int64)
-    np.add.at(inside, first, 1)
-    np.add.at(inside, last, -1)
-    of_passage = np.cumsum(inside)[:-1] > 0
-    vocabulary = np.unique(w.hashes[of_passage])
-    # A shard whose passages have more words than there are letters is split into several automata.
-    groups = _shards(first, last, w.hashes, len(vocabulary))
-    for passages in groups:
-        letters = np.unique(np.concatenate([w.hashes[a:b] for a, b in passages]))
+    low, high = np.full(len(distinct), np.iinfo(np.int64).max), np.full(len(distinct), np.iinfo(np.int64).min)
+    np.minimum.at(low, of, mine)
+    np.maximum.at(high, of, mine)
+    recurs = before | (high > low)
+    holder = np.where(before, NULL_ID, low)
+    # The window one word on, and whether it follows at every occurrence.
+    after = np.full(len(hashes), -1, dtype=np.int64)
+    after[:-1] = np.where((np.diff(at) == 1) & (w.rows[at[1:]] == w.rows[at[:-1]]), of[1:], -1)
+    many = np.bincount(of, minlength=len(distinct))
+    then = after[witness]
+    joint = np.bincount(of, after == then[of], len(distinct)).astype(np.int64)
+    order = np.argsort(witness)
+    order = order[recurs[order]]
+    if not len(order):
+        return Passages(none, none, none.astype(bool), none)
+    x, y = order[:-1], order[1:]
+    goes_on = (then[x] == y) & (witness[y] == witness[x] + 1) & (joint[x] == many[x]) & (many[y] == many[x]) & (before[x] == before[y]) & (holder[x] == holder[y])
+    begin = np.flatnonzero(np.concatenate(([True], ~goes_on)))
+    end = np.append(begin[1:], len(order)) - 1
+    return Passages(at[witness[order[begin]]], at[witness[order[end]]] + n, before[order[begin]], holder[order[begin]])
+
+
+def removed_words(w: Words, ids: np.ndarray, before: np.ndarray, n: int, shard: int = 400_000) -> np.ndarray:
+    """Which words of a block's documents are removed: those of the occurrences that the automata find.
+
+    Each automaton holds passages of at most ``shard`` words (a longer one stands alone).
+    """
+    found = passages(w, ids, before, n)
+    edge = np.zeros(len(w) + 1, dtype=np.int64)
+    size = found.last - found.first
+    for some in _shards(size, min(shard, LETTERS)):
+        letters = np.unique(np.concatenate([w.hashes[a:b] for a, b in zip(found.first[some], found.last[some], strict=True)]))
         number = np.minimum(np.searchsorted(letters, w.hashes), len(letters) - 1)
         number = np.where(letters[number] == w.hashes, number + 1, 0)
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
         text = _as_text(number)
-        for a, b in passages:
-            automaton.add_word(text[a:b])
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for k in some.tolist():
+            automaton.add_word(text[found.first[k] : found.last[k]], k)
         automaton.make_automaton()
         for row in range(w.n_rows):
             a, b = int(w.bounds[row]), int(w.bounds[row + 1])
-            if b - a < n:
+            hits = np.array(list(automaton.iter(text[a:b])), dtype=np.int64).reshape(-1, 2) if b - a >= n else ()
+            if not len(hits):
                 continue
-            found = np.array([(end + 1 - size, end + 1) for end, size in automaton.iter(text[a:b])], dtype=np.int64).reshape(-1, 2)
-            if not len(found):
-                continue
-            # Windows inside an occurrence that recur for this document, then the words they cover.
-            cover = np.zeros(b - a + 1, dtype=np.int64)
-            np.add.at(cover, found[:, 0], 1)
-            np.add.at(cover, found[:, 1] - n + 1, -1)
-            hit = np.flatnonzero((np.cumsum(cover)[:-1] > 0) & repeat[a:b])
-            words = np.zeros(b - a + 1, dtype=np.int64)
-            np.add.at(words, hit, 1)
-            np.add.at(words, hit + n, -1)
-            gone[a:b] |= np.cumsum(words)[:-1] > 0
-    return gone
-
-
-def _shards(first: np.ndarray, last: np.ndarray, hashes: np.ndarray, vocabulary: int):
-    passages = list(dict.fromkeys(zip(first.tolist(), last.tolist(), strict=True)))
-    if vocabulary < LETTERS:
-        return [passages]
-    out: list[list[tuple[int, int]]] = [[]]
-    used = 0
-    for a, b in passages:
-        if used + b - a >= LETTERS:
-            out.append([])
-            used = 0
-        out[-1].append((a, b))
-        used += b - a
-    return out
+            end, k = a + hits[:, 0] + 1, hits[:, 1]
+            taken = found.earlier[k] | (ids[row] > found.holder[k])
+            np.add.at(edge, end[taken] - size[k[taken]], 1)
+            np.add.at(edge, end[taken], -1)
+    return np.cumsum(edge)[:-1] > 0
+
+
+def _shards(size: np.ndarray, most: int):
+    """Places of passages, dealt in order into groups of at most ``most`` words."""
+    if not len(size):
+        return []
+    return np.split(np.arange(len(size)), np.flatnonzero(np.diff((np.cumsum(size) - 1) // most)) + 1)
 
 
 def _blocks_and_answers(docs: DataFrame, n: int, block_bytes: int) -> tuple[DataFrame, DataFrame]:
     size = text_bytes(docs)
-    blocks = in_ranges(docs, split_count(size, block_bytes))
+    blocks = in_ranges(docs, split_count(size, grown(block_bytes, size)))
     sent = blocks.groupBy("_block").applyInArrow(_announce(n, bucket_bits(size // 6)), MESSAGE)
     return blocks, sent.groupBy("_bucket").applyInArrow(_answer, ANSWER)
 
