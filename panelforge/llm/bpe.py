@@ -1,21 +1,26 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
-A text is cut before single spaces where a rolling hash of the words on both sides
-says so, about every 32 words, so equal passages are cut alike in every document.
-Each distinct chunk is encoded and decoded once per task (a bounded memo).  Every kind
-of join (two bytes before it, three after) is tried out: the words on both sides are
-encoded together by the tokenizer and must give the tokens that both chunks have there.
-A text with a join of a kind that fails is repaired: pieces are merged over the joins
-and encoded as one, and again with the next, until all agree.
-
-The tokenizer's own library encodes what is rare; plain Latin text goes through the
-same vocabulary in a faster library, which the joins hold against the first.
+1. A rolling hash of 16 bytes cuts a text wherever it says so, inside words too, about
+   every ``every`` bytes (never inside a UTF-8 character): equal passages are cut alike in
+   every document.
+2. Each distinct chunk is encoded and decoded once per task (a bounded memo).
+3. Joins are repaired: the bytes between the last sure boundary of a chunk and the first
+   of the next are encoded together and take the place of both ends.  A boundary is sure
+   where white space follows something else: this tokenizer parts a text there whatever
+   stands around, so what lies between sure boundaries has the tokens of the whole text.
+   A chunk without one is merged with its neighbours, again and again, until the piece
+   lies between sure boundaries and all agree.  Joins are kept like chunks.
+
+The tokenizer's own library encodes what is rare; plain Latin text goes through the same
+vocabulary in a faster library (PLAIN).  Tokenizer files of another kind than byte-level
+ones with PATTERN are not cut: their texts are encoded whole.
 
 Texts pass once through Arrow batches; nothing is shuffled or collected.
 
 Defined results: null text is an empty one, with no tokens; repeated rows are encoded
-each; special-token strings in a text become special tokens, as in the library; an
-empty table gives an empty result.
+each; a very long text is cut like any other; special-token strings in a text become
+special tokens, as in the library; other columns are not read; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -30,13 +35,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import U64, Words, mix, pieces
+from .common import U64, mix, pieces, text_buffers
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 # How the byte-level pre-tokenizer splits a text, and texts of the characters
 # that every Unicode version classes alike (ASCII, Latin letters).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PLAIN = re.compile("[\t-\r -~\u00a1-\u00ac\u00ae-\u024f]*")
+SPACES = frozenset(bytes([b]) for b in b" \t\n\x0b\x0c\r")
 _LOADED: dict[str, object] = {}
 
 
@@ -58,22 +64,24 @@ def default_path() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
-def cuts(w: Words, every: int = 32) -> list[np.ndarray]:
-    """Byte positions, from the text's own start, before which each text is cut."""
-    if len(w) < 2:
-        return [np.zeros(0, np.int64)] * w.n_rows
-    s = w.starts[1:]
-    chosen = (mix(w.hashes[:-1] * U64(3) + w.hashes[1:]) % U64(every) == 0) & (w.rows[1:] == w.rows[:-1])
-    chosen &= (w.ends[:-1] == s - 1) & (w.raw[s - 1] == 32)
-    at, rows = s[chosen] - 1, w.rows[1:][chosen]
-    bounds = np.searchsorted(rows, np.arange(w.n_rows + 1))
-    return [at[bounds[i] : bounds[i + 1]] - w.offsets[i] for i in range(w.n_rows)]
+#: Sure boundaries: white space of one byte behind what is no white space (the others are U+85, U+A0, U+1680,
+#: U+2000 to U+200A, U+2028, U+2029, U+202F, U+205F and U+3000).
+SURE = re.compile(rb"(?<=[^\t-\r ])(?<!\xc2[\x85\xa0])(?<!\xe1\x9a\x80)(?<!\xe2\x80[\x80-\x8a\xa8\xa9\xaf])(?<!\xe2\x81\x9f)(?<!\xe3\x80\x80)[\t-\r ]")
+_GEAR = np.random.Generator(np.random.PCG64(16)).integers(0, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 
 
-def split_chunk(chunk: bytes) -> list[bytes]:
-    """A chunk before each of its spaces."""
-    first, *rest = chunk.split(b" ")
-    return [x for x in (first, *[b" " + x for x in rest]) if x]
+def cuts(raw: np.ndarray, offsets: np.ndarray, every: int = 256) -> list[np.ndarray]:
+    """Byte positions, from the text's own start, before which each text is cut."""
+    h = _GEAR[raw]
+    for k in (1, 2, 4, 8):  # the hash of 16 bytes from those of 8, of 4, of 2, of 1
+        h[k:] += h[:-k] * U64(pow(0x9E3779B97F4A7C15, k, 1 << 64))
+    at = np.flatnonzero((mix(h) % U64(every) == 0)[:-1]) + 1
+    at = at[(raw[at] & 0xC0) != 0x80]
+    row = np.searchsorted(offsets, at, side="right") - 1
+    inside = at - offsets[row] >= 16  # all 16 bytes are of this text
+    at, row = at[inside], row[inside]
+    bounds = np.searchsorted(row, np.arange(len(offsets)))
+    return [at[bounds[i] : bounds[i + 1]] - offsets[i] for i in range(len(offsets) - 1)]
 
 
 def byte_ranks(path: str) -> dict[bytes, int] | None:
@@ -106,12 +114,12 @@ def fast_coder(path: str):
 class Coder:
     """Encodes and decodes texts chunk by chunk; ``most`` bounds the memo in bytes."""
 
-    def __init__(self, path: str, most: int = 48 << 20):
+    def __init__(self, path: str, most: int = 40 << 20):
         self.t, self.fast, self.most = tokenizer(path), fast_coder(path), most
         self.special = [t.content for t in self.t.get_added_tokens_decoder().values()]
-        self.chunks: dict[bytes, tuple[bytes, bytes]] = {}
-        self.joins: dict[bytes, bool] = {}
-        self.used, self.encoded, self.repaired = 0, 0, 0
+        self.memo: dict[bytes, tuple[bytes, bytes]] = {}  # pieces between sure boundaries: ids, decoded
+        self.split: dict[bytes, tuple[bytes, bytes, bytes] | None] = {}  # chunks: head, core, tail
+        self.used = self.seen = self.encoded = self.joins = self.repaired = 0
 
     def one(self, data: bytes) -> bytes:
         """Token ids of a string, by the tokenizer itself."""
@@ -119,7 +127,7 @@ class Coder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def learn(self, new: list[bytes]) -> None:
-        """Encode and decode chunks that are not known yet."""
+        """Encode and decode pieces that are not known yet."""
         slow = []
         for c in new:
             text = c.decode()
@@ -128,66 +136,69 @@ class Coder:
                 continue
             ids = self.fast.encode_ordinary(text)
             out = self.fast.decode_bytes(ids)
-            self.chunks[c] = (struct.pack(f"<{len(ids)}I", *ids), c if out == c else out)
+            self.memo[c] = (struct.pack(f"<{len(ids)}I", *ids), c if out == c else out)
             self.used += len(c) + 4 * len(ids) + 300
         if slow:
             ids = [e.ids for e in self.t.encode_batch_fast([x for _, x in slow], add_special_tokens=False)]
             for (c, _), i, text in zip(slow, ids, self.t.decode_batch(ids, skip_special_tokens=False), strict=True):
                 out = text.encode()
-                self.chunks[c] = (struct.pack(f"<{len(i)}I", *i), c if out == c else out)
+                self.memo[c] = (struct.pack(f"<{len(i)}I", *i), c if out == c else out)
                 self.used += len(c) + 4 * len(i) + 300
         self.encoded += len(new)
 
-    def agrees(self, left: bytes, right: bytes) -> bool:
-        """Whether two strings encoded together give the tokens of the one, then of the other."""
-        return self.one(left + right) == self.one(left) + self.one(right)
-
-    def try_join(self, a: bytes, b: bytes) -> bool:
-        """The words around a join of two known chunks, together and alone, against both chunks' tokens."""
-        left, right = split_chunk(a)[-1], split_chunk(b)[0]
-        x, y = self.one(left), self.one(right)
-        return self.chunks[a][0].endswith(x) and self.chunks[b][0].startswith(y) and self.one(left + right) == x + y
+    def parts(self, chunk: bytes) -> tuple[bytes, bytes, bytes] | None:
+        """A chunk's bytes up to its first sure boundary, between first and last, and from the last; None without any."""
+        found = [m.start() for m in SURE.finditer(chunk)]
+        return (chunk[: found[0]], chunk[found[0] : found[-1]], chunk[found[-1] :]) if found else None
 
-    def repair(self, chunks: list[bytes]) -> tuple[bytes, bytes]:
-        """A text whose chunks don't join: its pieces are merged over every join that does not agree, until all do."""
+    def pieces(self, chunks: list[bytes]) -> list[bytes]:
+        """A text as pieces between sure boundaries: cores of chunks, and what stands around each join."""
         out: list[bytes] = []
-        for x in (x for c in chunks for x in split_chunk(c)):
-            out.append(x)
-            while len(out) > 1 and not self.agrees(out[-2], out[-1]):
-                out[-2:] = [out[-2] + out[-1]]
-                self.repaired += 1
-        ids = b"".join([self.one(x) for x in out])
-        return ids, self.t.decode(list(struct.unpack(f"<{len(ids) // 4}I", ids)), skip_special_tokens=False).encode()
+        open_ = b""
+        for c in chunks:
+            self.seen += 1
+            if c in self.split:
+                p = self.split[c]
+            else:
+                p = self.split[c] = self.parts(c)
+                self.used += 2 * len(c) + 400
+            if open_ and c[:1] in SPACES and SURE.match(open_[-3:] + c[:1], len(open_[-3:])):
+                # The join itself is sure: nothing to repair.
+                out.append(open_)
+                open_ = b""
+            if p is None:
+                self.repaired += bool(open_)
+                open_ += c
+                continue
+            head, core, tail = p
+            if open_ or head:
+                self.repaired += bool(open_ and head)
+                out.append(open_ + head)
+            if core:
+                out.append(core)
+            open_ = tail
+        self.joins += max(0, len(chunks) - 1)
+        return [*out, open_] if open_ else out
 
     def code(self, texts: list[list[bytes]]) -> list[tuple[bytes, bytes]]:
         """Token ids (little-endian 32 bit) and decoded bytes of texts given as chunks."""
         if self.used > self.most:
-            self.chunks.clear()
+            self.memo.clear()
+            self.split.clear()
             self.used = 0
-        self.learn(list(dict.fromkeys([c for t in texts for c in t if c not in self.chunks])))
-        out = []
-        for t in texts:
-            fine = True
-            for a, b in zip(t, t[1:], strict=False):
-                key = a[-2:] + b[:3]
-                if key not in self.joins:
-                    self.joins[key] = self.try_join(a, b)
-                fine &= self.joins[key]
-            if fine:
-                got = [self.chunks[c] for c in t]
-                out.append((b"".join([x[0] for x in got]), b"".join([x[1] for x in got])))
-            else:
-                out.append(self.repair(t))
-        return out
+        made = [self.pieces(t) if self.fast is not None else [b"".join(t)] if t else [] for t in texts]
+        self.learn(list(dict.fromkeys([p for m in made for p in m if p not in self.memo])))
+        found = [[self.memo[p] for p in m] for m in made]
+        return [(b"".join([x[0] for x in f]), b"".join([x[1] for x in f])) for f in found]
 
 
-def split_texts(column: pa.Array, cut=cuts) -> list[list[bytes]]:
-    w = Words(column)
-    data = w.raw.tobytes()
+def split_texts(column: pa.Array, every: int = 256) -> list[list[bytes]]:
+    raw, offsets = text_buffers(column)
+    data = raw.tobytes()
     out = []
-    for i, at in enumerate(cut(w)):
-        a, b = int(w.offsets[i]), int(w.offsets[i + 1])
-        edges = [a, *(a + int(k) for k in at), b]
+    for i, at in enumerate(cuts(raw, offsets, every)):
+        a, b = int(offsets[i]), int(offsets[i + 1])
+        edges = [a, *(a + at).tolist(), b]
         out.append([data[x:y] for x, y in zip(edges, edges[1:], strict=False) if y > x])
     return out
 

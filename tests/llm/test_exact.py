@@ -157,6 +157,47 @@ def test_repeated_passages(docs, texts, block):
         assert (r["n_words"], r["n_removed"], r["kept_sha256"]) == (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())
 
 
+def test_automata_alone_locate(texts, monkeypatch):
+    """Passages are named by one occurrence; without the automata nothing is found, in small shards all is."""
+    data = {i: (t or "")[:4000] for i, t in sorted(texts.items())[:60]}
+    first, n = {}, 13
+    for i, t in data.items():
+        for k in range(len(words(t)) - n + 1):
+            first.setdefault(tuple(words(t)[k : k + n]), i)
+    w, ids = common.Words(pa.array(list(data.values()))), np.array(list(data))
+    want = np.concatenate([np.isin(np.arange(len(x)), [k + j for k in range(len(x) - n + 1) if first[tuple(x[k : k + n])] < i for j in range(n)]) for i, x in ((i, words(t)) for i, t in data.items())])
+    before = np.zeros(len(np.unique(common.windows(w.hashes, w.rows, n)[0])), dtype=bool)
+    assert want.any() and (substring_dedup.removed_words(w, ids, before, n) == want).all()
+    assert (substring_dedup.removed_words(w, ids, before, n, shard=40) == want).all()
+    found = substring_dedup.passages(w, ids, before, n)
+    spans = [w.hashes[a:b].tobytes() for a, b in zip(found.first, found.last)]
+    assert len(set(spans)) == len(spans)
+
+    class Blind:
+        def __init__(self, *_):
+            self.add_word, self.make_automaton, self.iter = (lambda *_: None), (lambda: None), (lambda _: iter(()))
+
+    monkeypatch.setattr(substring_dedup.ahocorasick, "Automaton", Blind)
+    assert not substring_dedup.removed_words(w, ids, before, n).any()
+
+
+def test_passages_in_loops():
+    """Words that repeat in themselves, against brute force."""
+    rng = random.Random(4)
+    for _ in range(60):
+        data = [" ".join(rng.choice("ab") for _ in range(rng.randrange(0, 40))) for _ in range(6)]
+        n, first, want = 3, {}, []
+        for i, t in enumerate(data):
+            x = t.split()
+            for k in range(len(x) - n + 1):
+                first.setdefault(tuple(x[k : k + n]), i)
+            gone = {k + j for k in range(len(x) - n + 1) if first[tuple(x[k : k + n])] < i for j in range(n)}
+            want += [k in gone for k in range(len(x))]
+        w = common.Words(pa.array(data))
+        before = np.zeros(len(np.unique(common.windows(w.hashes, w.rows, n)[0])), dtype=bool)
+        assert substring_dedup.removed_words(w, np.arange(6), before, n).tolist() == want
+
+
 def test_cut_texts_keep_the_other_words(docs, texts):
     digest = {r["doc_id"]: r["kept_sha256"] for r in substring_dedup.digests(docs).collect()}
     for r in substring_dedup.remove_repeats(docs).collect():
@@ -210,22 +251,41 @@ def test_ordinal_gradient_and_order():
 
 def test_bpe_round_trip(texts):
     t = bpe.tokenizer(bpe.default_path())
-    odd = ["", None, "a  b   c", "<|endoftext|> x <|endoftext|>", "x" * 3000, "it's  a\n\n\nb \t c ", "é 漢字 🎉 " * 20, "  a  b　", "  ", " a" * 300, "naïve ŠŽ ²³ ½"]
+    odd = ["", None, "a  b   c", "<|endoftext|> x <|endoftext|>", "x" * 3000, "it's  a\n\n\nb \t c ", "é 漢字 🎉 " * 20, "  a  b　", "  ", " a" * 300, "naïve ŠŽ ²³ ½", "a\x0b b\x1c c\x85 d\u2028 e", "\n\n a<|endoftext|>\n\n", "we'll they're 12 345 !?" * 9]
     data = [*texts.values(), *odd]
-    for every in (1, 4, 32):
+    want = t.encode_batch([x or "" for x in data], add_special_tokens=False)
+    for every in (2, 16, 256):
         coder = bpe.Coder(bpe.default_path())
-        got = coder.code(bpe.split_texts(pa.array(data, pa.string()), lambda w: bpe.cuts(w, every)))  # noqa: B023
-        want = [e.ids for e in t.encode_batch([x or "" for x in data], add_special_tokens=False)]
-        assert [x[0] for x in got] == [np.array(i, "<u4").tobytes() for i in want]
-        assert [x[1].decode() for x in got] == [t.decode(i, skip_special_tokens=False) for i in want]
+        chunks = bpe.split_texts(pa.array(data, pa.string()), every)
+        got = coder.code(chunks)
+        assert ["".join(x.decode() for x in c) for c in chunks] == [x or "" for x in data]
+        assert [x[0] for x in got] == [np.array(e.ids, "<u4").tobytes() for e in want]
+        assert [x[1].decode() for x in got] == [t.decode(e.ids, skip_special_tokens=False) for e in want]
+        assert coder.repaired > 0 and coder.encoded < coder.seen + coder.joins
+
+
+def test_bpe_random_joins():
+    """Any cut of any text, against the tokenizer."""
+    rng, t = random.Random(9), bpe.tokenizer(bpe.default_path())
+    coder = bpe.Coder(bpe.default_path())
+    alphabet = list("abz'sltd    \n\t\r019.,!?-é²漢🎉\u00a0\u2003\u2003\u3000\x1c\x85") + ["<|endoftext|>", "ing", " the", "'ll"]
+    for _ in range(4000):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 60)))
+        edges = sorted({0, len(text), *(rng.randrange(len(text) + 1) for _ in range(rng.randrange(0, 9)))})
+        [(ids, decoded)] = coder.code([[text[a:b].encode() for a, b in zip(edges, edges[1:])]])
+        want = t.encode(text, add_special_tokens=False).ids
+        assert ids == np.array(want, "<u4").tobytes() and decoded.decode() == t.decode(want, skip_special_tokens=False)
 
 
-def test_bpe_repairs_bad_joins():
+def test_bpe_joins_need_repair(texts):
+    """Chunks encoded alone and strung together are wrong; equal passages give equal chunks."""
     coder = bpe.Coder(bpe.default_path())
-    text = "unbelievable things, internationalisation of 12345678"
-    chunks = [text[k : k + 3].encode() for k in range(0, len(text), 3)]
-    [(ids, decoded)] = coder.code([chunks])
-    assert ids == coder.one(text.encode()) and decoded.decode() == text and coder.repaired > 0
+    data = [t for t in texts.values() if t and len(t) > 2000][:20]
+    chunks = bpe.split_texts(pa.array(data))
+    assert any(b"".join(coder.one(x) for x in c) != coder.one(t.encode()) for c, t in zip(chunks, data))
+    passage = data[0][:2000]
+    a, b = bpe.split_texts(pa.array(["one way in " + passage, "another and longer " + passage]))
+    assert len(set(a) & set(b)) >= len(a) - 3
 
 
 def test_bpe_memo_is_bounded(texts):
