@@ -8,17 +8,21 @@ buckets and star-shaped candidate edges, confirmed on full shingle sets.
 3. 32 bands of 4 bins: a pair at similarity 0.75 misses all with probability 5e-6.
    In each bucket all members are linked with one centre, the member that meets most
    others over all its buckets: candidate edges grow with the members, not their pairs.
-4. Edges are confirmed on full sets.  What the buckets that still hold several components
-   have is then compared across components on full sets, in cells of bounded size that
-   give back links alone, so no link between different texts is lost.
+4. Edges are confirmed on full sets.  What a bucket still holds in several components is
+   then compared in that bucket, across components, on full sets: pairs that share a rare
+   shingle (a prefix filter, which loses none), in cells of bounded size that give back
+   links alone, so no link between different texts is lost.  Nothing is closed over
+   buckets, so chains of buckets make no giant group.
 
 Sets are built for documents of shared buckets only.  Their ids go to the tasks if
 their checked size allows, else texts are joined with them.
 
 Defined results: null and empty texts have no shingles and are linked with nothing;
 texts of one to four words are one shingle; repeated rows are copies of each other and
-keep their rows; a row without a doc_id has no component and is kept; an empty table
-gives an empty result.
+keep their rows; rows that share an id are one document with several texts, linked by
+any of them, and each row shows its own n_shingles; a row without a doc_id has no
+component and is kept; a very long text is one set; a pair at exactly the similarity is
+linked; other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -150,9 +154,13 @@ def _sets(docs: DataFrame, ids: DataFrame, broadcast_ids: int) -> DataFrame:
             batch = batch if known is None else _among(batch, known, True)
             for part in pieces(batch, "text"):
                 bounds, h = shingle_sets(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array([pack(h[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary())], ["doc_id", "shingles"])
+                sets = [h[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+                key = [int(mix(x).sum(dtype=np.uint64).view(np.int64)) for x in sets]
+                full = pa.array(np.diff(bounds) > 0)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(key, pa.int64()), pa.array([pack(x) for x in sets], pa.binary())], ["doc_id", "text", "shingles"]).filter(full)
 
-    return materialise(docs.mapInArrow(each, "doc_id long, shingles binary"), "shingle-sets")
+    # Rows that share an id may have several texts: each is kept once.
+    return materialise(docs.mapInArrow(each, "doc_id long, text long, shingles binary"), "shingle-sets").dropDuplicates(["doc_id", "text"])
 
 
 def _confirm(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -179,45 +187,66 @@ def _confirm(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return materialise(edges.select("u", "v").join(left, "v").join(right, "u").select("u", "v", "a", "b").mapInArrow(each, "u long, v long"), "links")
 
 
+def _cell_links(sets: list[np.ndarray], comp: np.ndarray, may: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+    """Pairs of sets (places) of different components that reach the similarity.
+
+    Only sets that share one of their rarest shingles can: a set's prefix is its rarest
+    ``n - ceil(percent * n) + 1``.  ``may``: the part of each set, where only pairs across parts count.
+    """
+    size = np.array([len(x) for x in sets])
+    doc = np.repeat(np.arange(len(sets)), size)
+    _, number, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.lexsort((number, many[number], doc))  # each set from its rarest shingle
+    number, starts = number[order], np.concatenate(([0], np.cumsum(size)))
+    place = np.arange(len(number)) - starts[doc]
+    short = size - (size * percent + 99) // 100 + 1
+    first = place < short[doc]
+    # Postings of prefixes only; one that a single component holds links nothing.
+    token, holder = number[first], doc[first]
+    by = np.lexsort((holder, token))
+    token, holder = token[by], holder[by]
+    edge = np.flatnonzero(np.diff(token, prepend=-1))
+    low, high = np.minimum.reduceat(comp[holder], edge), np.maximum.reduceat(comp[holder], edge)
+    spans = {int(token[e]): (int(e), int(f)) for e, f, a, b in zip(edge, [*edge[1:], len(token)], low, high, strict=True) if a != b}
+    out: list[tuple[int, int]] = []
+    sorted_sets = [np.sort(number[starts[k] : starts[k + 1]]) for k in range(len(sets))]
+    for k in range(len(sets)):
+        near = [holder[spans[t][0] : spans[t][1]] for t in number[starts[k] : starts[k] + short[k]].tolist() if t in spans]
+        if not near:
+            continue
+        near = np.unique(np.concatenate(near))
+        near = near[(near > k) & (comp[near] != comp[k]) & (100 * np.minimum(size[near], size[k]) >= percent * np.maximum(size[near], size[k]))]
+        if may is not None:
+            near = near[may[near] != may[k]]
+        for m in near.tolist():
+            both = len(np.intersect1d(sorted_sets[k], sorted_sets[m], assume_unique=True))
+            if 100 * both >= percent * (size[k] + size[m] - both):
+                out.append((k, m))
+    return out
+
+
 def _across(rows: DataFrame, percent: int, cell: int = 1_000_000) -> DataFrame:
-    """Links between different components of one cluster, on full sets.
+    """Links between different components that meet in a bucket, on full sets.
 
-    ``rows``: cluster, doc_id, component, shingles.  A cluster of more than ``cell``
-    shingles is dealt into parts, and each two parts meet in a task of their own; what
-    two documents share is counted over the documents of each shingle.
+    ``rows``: bucket, doc_id, component, shingles.  A bucket of more than ``cell``
+    shingles is dealt into parts by document, and each two parts meet in a task of their
+    own; the pairs looked at in a cell are those that share a rare shingle.
     """
-    sizes = rows.groupBy("cluster").agg(F.sum(F.octet_length("shingles") / 7).alias("n"))
-    cut = rows.join(sizes, "cluster").withColumn("s", F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(cell))).cast("int")).withColumn("i", F.pmod(F.xxhash64("doc_id"), F.col("s")).cast("int"))
+    sizes = rows.groupBy("bucket").agg(F.sum(F.octet_length("shingles") / 7).alias("n"))
+    cut = rows.join(sizes, "bucket").withColumn("s", F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(cell))).cast("int")).withColumn("i", F.pmod(F.xxhash64("doc_id"), F.col("s")).cast("int"))
     cells = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("j")).select(
-        "cluster", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "doc_id", "component", "shingles", (F.col("i") <= F.col("j")).alias("first")
+        "bucket", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "doc_id", "component", "shingles", (F.col("i") <= F.col("j")).alias("first")
     )
 
     def each(table: pa.Table) -> pa.Table:
         ids, comp = table.column("doc_id").to_numpy(), table.column("component").to_numpy()
-        first = np.array(table.column("first").to_numpy(zero_copy_only=False))
         one_part = table.column("x")[0].as_py() == table.column("y")[0].as_py()
-        sets = [unpack(x) for x in table.column("shingles").to_pylist()]
-        size = np.array([len(x) for x in sets])
-        doc = np.repeat(np.arange(len(sets)), size)
-        _, number = np.unique(np.concatenate(sets), return_inverse=True)
-        order = np.argsort(number, kind="stable")
-        posting, bounds = doc[order], np.searchsorted(number[order], np.arange(number.max(initial=-1) + 2))
-        starts = np.concatenate(([0], np.cumsum(size)))
-        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        # Two documents of the most frequent component need no look at each other.
-        _, of, many_of = np.unique(comp, return_inverse=True, return_counts=True)
-        for k in np.flatnonzero(of != many_of.argmax()):
-            mine = number[starts[k] : starts[k + 1]]
-            many = bounds[mine + 1] - bounds[mine]
-            at = np.repeat(bounds[mine] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
-            shared = np.bincount(posting[at], minlength=len(sets))
-            hit = (100 * shared >= percent * (size + size[k] - shared)) & (comp != comp[k]) & (one_part | (first != first[k]))
-            hit = np.flatnonzero(hit)
-            us.append(np.minimum(ids[k], ids[hit]))
-            vs.append(np.maximum(ids[k], ids[hit]))
-        return pa.table({"u": np.concatenate(us), "v": np.concatenate(vs)})
-
-    return cells.groupBy("cluster", "x", "y").applyInArrow(each, "u long, v long").distinct()
+        may = None if one_part else np.array(table.column("first").to_numpy(zero_copy_only=False))
+        links = _cell_links([unpack(x) for x in table.column("shingles").to_pylist()], comp, may, percent)
+        pairs = np.sort(np.array([(ids[a], ids[b]) for a, b in links], np.int64).reshape(-1, 2), axis=1)
+        return pa.table({"u": pairs[:, 0], "v": pairs[:, 1]})
+
+    return cells.groupBy("bucket", "x", "y").applyInArrow(each, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, broadcast_ids: int = 4_000_000) -> DataFrame:
@@ -227,7 +256,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, broadcast_ids: int = 4_0
     classes = materialise(rows.where("n_shingles > 0").groupBy("key", "n_shingles").agg(F.min("doc_id").alias("rep")), "sets")
     known = materialise(rows.where("n_shingles > 0").select("doc_id", "key", "n_shingles").join(classes, ["key", "n_shingles"]).select("doc_id", "rep"), "classes")
     reps = known.where("doc_id = rep").select("doc_id").distinct()
-    reps = materialise(rows.where("n_shingles > 0").join(reps, "doc_id", "left_semi").select("doc_id", "sig").dropDuplicates(["doc_id"]), "representatives")
+    reps = materialise(rows.where("n_shingles > 0").join(reps, "doc_id", "left_semi").select("doc_id", "sig").distinct(), "representatives")
+    # Rows that share an id are one document with several texts: their classes are linked.
+    spread = known.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("top")).where("u != top")
+    twins = materialise(known.join(spread, "doc_id").where("rep != u").select("u", F.col("rep").alias("v")).distinct(), "twins")
 
     bands = _bands(reps)
     shared = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
@@ -236,24 +268,23 @@ def near_duplicates(docs: DataFrame, percent: int = 75, broadcast_ids: int = 4_0
     centre = members.join(meets, "doc_id").groupBy("bucket").agg(F.max(F.struct("meets", (-F.col("doc_id")).alias("low"))).alias("top")).select("bucket", (-F.col("top.low")).alias("u"))
     edges = members.join(centre, "bucket").where("u != doc_id").groupBy("u", F.col("doc_id").alias("v")).agg(F.count("*").alias("bands"))
     edges = materialise(edges, "candidates")
-    sets = _sets(docs, members.select("doc_id").distinct(), broadcast_ids).dropDuplicates(["doc_id"])
+    sets = _sets(docs, members.select("doc_id").distinct(), broadcast_ids)
 
-    links = _confirm(edges, sets, percent)
+    links = _confirm(edges, sets, percent).unionByName(twins)
     found = components(links)
 
     def labelled(df: DataFrame, labels: DataFrame, column: str, name: str) -> DataFrame:
         lab = labels.select(F.col("node").alias(column), F.col("component").alias("_c"))
         return df.join(lab, column, "left").withColumn(name, F.coalesce("_c", column)).drop("_c")
 
-    # Centres and members that stayed apart: the components they are in form clusters.
-    apart = labelled(labelled(edges.select("u", "v"), found, "u", "cu"), found, "v", "cv").where("cu != cv")
-    apart = materialise(apart.select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct(), "apart")
+    # What stayed apart in a bucket is compared there: in the smallest bucket of several
+    # components only, where two or more hold the same documents.
+    mixed = labelled(members.select("bucket", "doc_id").distinct(), found, "doc_id", "component")
+    several = mixed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n"), F.sum(F.xxhash64("doc_id") % 1_000_000_007).alias("who")).where("a != b")
+    several = several.groupBy("n", "who").agg(F.min("bucket").alias("bucket")).select("bucket")
+    apart = materialise(mixed.join(several, "bucket"), "apart")
     if not apart.isEmpty():
-        clusters = components(apart)
-        mixed = labelled(members.select("bucket", "doc_id"), found, "doc_id", "component")
-        several = mixed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("bucket")
-        rows_ = mixed.join(several, "bucket").select("doc_id", "component").distinct().join(sets, "doc_id")
-        across = _across(labelled(rows_, clusters, "component", "cluster"), percent)
+        across = _across(apart.join(sets.drop("text"), "doc_id"), percent)
         across = labelled(labelled(across, found, "u", "cu"), found, "v", "cv").select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct()
         across = materialise(across, "across")
         if not across.isEmpty():
