@@ -1,16 +1,21 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-1. Word counts of the whole corpus for the benchmark's words (partial counts per task).
+1. Word counts of the whole corpus for the benchmark's words (partial counts per task),
+   in one pass for all of the benchmark.
 2. Each position of a test item gets the shortest n-gram (2 to 8 words) expected at
    most ``expected`` times in a corpus of that size if words were independent: seeds
-   stay rare as the corpus grows, and copies of an item don't make its own seeds common.
-   Beside these each item has its rarest word pair among every third position, from each
-   of the first three, however often it is expected: an item of frequent words has seeds
-   in a corpus of any size, and a copy with every third word replaced keeps one.
+   stay rare as the corpus grows, and copies of an item don't make its own seeds common,
+   as they would if n-grams were counted.  Beside these each item has its rarest word pair
+   among every third position, from each of the first three, however often it is expected:
+   an item of frequent words has seeds in a corpus of any size, and a copy with every
+   third word replaced keeps one.
 3. Every text is scanned for the seeds; each hit fixes an item and a diagonal.
 4. The words around the diagonal are aligned locally with the item (match 2, mismatch
-   -1, gap -1); ``score`` is the best sum over that of a full copy.  Substitutions,
-   insertions and deletions only lower it.
+   -1, gap -1).  ``score`` is the best sum over that of a full copy, ``passage_score`` the
+   same sum over that of a full copy of the passage.  Substitutions, insertions and
+   deletions only lower them.  A passage counts with a score of ``threshold``, or with a
+   passage score of ``threshold`` and a sum of at least ``passage`` matching words: part
+   of a long item is a leak too.  Items of fewer than five words count as full copies only.
 
 The benchmark is the stated query set: it is taken in blocks of at most ``block_bytes``
 of text, which is what is collected and sent to the tasks; every block passes over all
@@ -19,8 +24,10 @@ texts.  Nothing of the documents is shuffled, and hot passages stay in their own
 Words are runs of letters, digits and non-ASCII bytes, A-Z in lower case.
 
 Defined results: null texts and items have no words; items of fewer than ``min_words``
-words never match; repeated items are reported each; repeated documents are reported
-once per row; among equal scores the first passage is reported; empty tables give empty results.
+words never match (one word is no passage); repeated items are reported each; repeated
+documents, and rows that share an id, are reported once per row; a very long text is
+scanned whole; among equal scores the first passage is reported; other columns keep
+their values, whatever their names; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -35,7 +42,9 @@ from pyspark.sql import functions as F
 from .common import U64, Words, mix, pieces, split_count, text_bytes, word_hashes, word_spans
 from .features import _FOLD
 
-SCHEMA = "doc_id long, item_id long, score double, start_word long, end_word long"
+SCHEMA = "doc_id long, item_id long, score double, passage_score double, start_word long, end_word long"
+COLUMNS = ["doc_id", "item_id", "score", "passage_score", "start_word", "end_word"]
+SHORT = 5
 MATCH, MISS, GAP, LONGEST = 2, 1, 1, 8
 
 
@@ -56,8 +65,7 @@ class Items:
     words: list[np.ndarray]
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == hashes, at, -1).astype(np.int64)
+        return lookup(self.vocabulary, hashes)
 
 
 def load_items(benchmark: DataFrame, min_words: int) -> Items:
@@ -69,22 +77,30 @@ def load_items(benchmark: DataFrame, min_words: int) -> Items:
     return Items(np.array([rows[i][0] for i in keep], np.int64), vocabulary, [at[bounds[i] : bounds[i + 1]] for i in keep])
 
 
-def count_words(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
-    """Corpus count of each word of the vocabulary, and of all words."""
+def lookup(vocabulary: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Places among sorted hashes, -1 where they are not."""
+    if not len(vocabulary):
+        return np.full(len(hashes), -1, np.int64)
+    at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
+    return np.where(vocabulary[at] == hashes, at, -1).astype(np.int64)
+
+
+def count_words(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
+    """Corpus count of each word of the sorted vocabulary, and of all words."""
 
     def each(batches):
-        counts, total = np.zeros(len(items.vocabulary), np.int64), 0
+        counts, total = np.zeros(len(vocabulary), np.int64), 0
         for batch in batches:
             for part in pieces(batch, "text"):
                 h = folded(part.column("text"))[0]
-                at = items.lookup(h)
+                at = lookup(vocabulary, h)
                 counts += np.bincount(at[at >= 0], minlength=len(counts))
                 total += len(h)
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1)), pa.array(np.append(counts[seen], total))], ["word", "n"])
 
     rows = docs.select("text").mapInArrow(each, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    counts, total = np.zeros(len(items.vocabulary), np.int64), 0
+    counts, total = np.zeros(len(vocabulary), np.int64), 0
     for r in rows:
         if r["word"] < 0:
             total = r["n"]
@@ -183,8 +199,8 @@ def align(item: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return best, end
 
 
-def match_words(at: np.ndarray, rows: np.ndarray, bounds: np.ndarray, items: Items, seeds: Seeds, threshold: float) -> list[tuple]:
-    """(row, item, score, start, end) of the best passage for each row and item that reaches ``threshold``."""
+def match_words(at: np.ndarray, rows: np.ndarray, bounds: np.ndarray, items: Items, seeds: Seeds, threshold: float, passage: int = 13) -> list[tuple]:
+    """(row, item, score, passage score, start, end) of the best passage for each row and item that counts."""
     hits = find_seeds(at, rows, seeds)
     if not len(hits):
         return []
@@ -203,50 +219,62 @@ def match_words(at: np.ndarray, rows: np.ndarray, bounds: np.ndarray, items: Ite
             index = start[:, None] + np.arange(len(item) + 3 * pad)[None, :]
             texts = np.where(index < bounds[row + 1][:, None], at[np.minimum(index, len(at) - 1)], -2)
             best, end = align(item, texts)
-            for k in np.flatnonzero(best >= threshold * MATCH * len(item)):
+            whole = MATCH * len(item) * (threshold if len(item) >= SHORT else 1)
+            for k in np.flatnonzero(best >= min(whole, MATCH * passage)):
                 # The start is the end of the same alignment of both reversed.
-                back = align(item[::-1], texts[k : k + 1, : end[k]][:, ::-1])
+                back = int(align(item[::-1], texts[k : k + 1, : end[k]][:, ::-1])[1][0])
+                own = best[k] / (MATCH * back)
+                if best[k] < whole and (own < threshold or len(item) < SHORT):
+                    continue
                 first = int(start[k] - bounds[row[k]])
-                found = (int(row[k]), int(i), best[k] / (MATCH * len(item)), first + int(end[k]) - int(back[1][0]), first + int(end[k]))
+                found = (int(row[k]), int(i), best[k] / (MATCH * len(item)), own, first + int(end[k]) - back, first + int(end[k]))
                 old = out.get((int(row[k]), int(i)))
-                if old is None or (found[2], -found[3]) > (old[2], -old[3]):
+                if old is None or (found[2], -found[4]) > (old[2], -old[4]):
                     out[int(row[k]), int(i)] = found
     return [out[k] for k in sorted(out)]
 
 
-def benchmark_blocks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 8 << 20, min_words: int = 5, expected: float = 1.0):
-    """(items, seeds) of each block of the benchmark."""
+def benchmark_blocks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 8 << 20, min_words: int = 2, expected: float = 1.0):
+    """(items, seeds) of each block of the benchmark; the words of all blocks are counted in one pass."""
     n = split_count(text_bytes(benchmark), block_bytes)
+    block = lambda k: load_items(benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else benchmark, min_words)
+    vocabulary, one = np.zeros(0, np.uint64), None
+    for k in range(n):
+        one = block(k)
+        vocabulary = np.union1d(vocabulary, one.vocabulary)
+    if not len(vocabulary):
+        return
+    counts, total = count_words(docs, vocabulary)
     for k in range(n):
-        items = load_items(benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) if n > 1 else benchmark, min_words)
+        items = one if n == 1 else block(k)
         if len(items.ids):
-            yield items, make_seeds(items, *count_words(docs, items), expected)
+            yield items, make_seeds(items, counts[lookup(vocabulary, items.vocabulary)], total, expected)
 
 
-def _scan(part: pa.RecordBatch, items: Items, seeds: Seeds, threshold: float) -> list[tuple]:
+def _scan(part: pa.RecordBatch, items: Items, seeds: Seeds, threshold: float, passage: int) -> list[tuple]:
     h, rows, bounds = folded(part.column(part.schema.get_field_index("text")))
-    return match_words(items.lookup(h), rows, bounds, items, seeds, threshold)
+    return match_words(items.lookup(h), rows, bounds, items, seeds, threshold, passage)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
-    """A row for each document and item with a passage of at least ``threshold``; words are counted from 0."""
+def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, passage: int = 13, **options) -> DataFrame:
+    """A row for each document and item with a passage that counts; words are counted from 0."""
     result = None
     for items, seeds in benchmark_blocks(docs, benchmark, **options):
 
         def each(batches, items=items, seeds=seeds):
             for batch in batches:
                 for part in pieces(batch, "text"):
-                    ids, found = part.column("doc_id").to_pylist(), _scan(part, items, seeds, threshold)
-                    cols = list(zip(*((ids[r], int(items.ids[i]), float(s), a, b) for r, i, s, a, b in found), strict=True)) or [[]] * 5
-                    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "score", "start_word", "end_word"])
+                    ids, found = part.column("doc_id").to_pylist(), _scan(part, items, seeds, threshold, passage)
+                    cols = list(zip(*((ids[r], int(items.ids[i]), float(s), float(own), a, b) for r, i, s, own, a, b in found), strict=True)) or [[]] * 6
+                    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], COLUMNS)
 
         one = docs.select("doc_id", "text").mapInArrow(each, SCHEMA)
         result = one if result is None else result.unionByName(one)
     return docs.sparkSession.createDataFrame([], SCHEMA) if result is None else result
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, passage: int = 13, **options) -> DataFrame:
     """``docs`` without the rows that hold a passage of the benchmark."""
     out = docs
     for items, seeds in benchmark_blocks(docs, benchmark, **options):
@@ -255,7 +283,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, **optio
             for batch in batches:
                 for part in pieces(batch, "text"):
                     keep = np.ones(len(part), dtype=bool)
-                    keep[[x[0] for x in _scan(part, items, seeds, threshold)]] = False
+                    keep[[x[0] for x in _scan(part, items, seeds, threshold, passage)]] = False
                     yield part.filter(pa.array(keep))
 
         out = out.mapInArrow(each, out.schema)
