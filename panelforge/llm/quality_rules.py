@@ -8,8 +8,9 @@ covariance from them, repeat until the determinant falls no more.  The estimate
 smallest determinant is the core.  ``steps`` more steps widen it for precision to the
 ``most`` share of rows, or to those near it (REWEIGHT) where these are fewer, so junk of
 more than a quarter of a group stays out.  Rows are rejected by their distance under the
-last estimate, scaled so that its median is that of a chi-square variable.  Determinants are those of the covariance with the
-floors of VECTOR added, which concentration steps lower too.
+last estimate, scaled so that its median is that of a chi-square variable.
+Determinants are those of the covariance with the floors of VECTOR added, which
+concentration steps lower too.
 
 All reductions (quantile sketches, sums of products) merge partial results, so a
 group with a third of all rows is no task of its own.  The group table has one row a
@@ -18,8 +19,10 @@ group with a third of all rows is no task of its own.  The group table has one r
 Defined results: null text has no words, fails the base rule and is not kept.  Null
 lang or source is a group of its own.  Groups of fewer than ``min_group`` usable rows
 are pooled by language, those of small languages over all languages; while even that
-has fewer rows, nothing is an outlier.  Repeated rows are judged one by one.  An empty
-table gives an empty result.
+has fewer rows, nothing is an outlier.  Repeated rows, also of one id, are judged one by
+one.  Among starts of equal determinant the first counts; rows at the cut distance are
+inside.  A very long text is one row's work like any other.  Other columns are not read.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -157,7 +160,7 @@ def _fit(rows: DataFrame, groups: DataFrame, limit: str) -> DataFrame:
 
 def _step(rows: DataFrame, groups: DataFrame, h: float) -> DataFrame:
     cuts = rows.join(groups, _KEYS).withColumn("_d", _distance(_M, _L)).groupBy(*_KEYS, "_start").agg(F.percentile_approx("_d", h, 1000).alias("_cut"))
-    return _fit(rows, materialise(cuts.join(groups, [*_KEYS, "_start"]), "mcd-cut"), "_cut")
+    return _fit(rows, cuts.join(groups, [*_KEYS, "_start"]), "_cut")
 
 
 def _least_determinant(rows: DataFrame, h: float) -> DataFrame:

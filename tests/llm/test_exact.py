@@ -224,12 +224,74 @@ def test_hostile_page():
     assert html_extract.blocks(HOSTILE) == ["Head <1>", "First paragraph ends.", "one", "two"]
 
 
+def test_names_that_only_look_like_marks():
+    page = "<body><main><section id='search-algorithms'>A</section><p class='notice-of-award'>B</p><div id='share-prices'>C</div><div class='ad-box'>D</div><div class='social share'>E</div><article class='comment'>F</article><article class='comment-list'>G</article></main></body>"
+    assert html_extract.blocks(page) == ["A", "B", "C"]
+
+
 def test_templates_find_boilerplate_without_an_article(spark):
     page = lambda k: f"<html><body><div>Site name</div><div><p>Story {k} tells of things {k * 7}.</p></div><div>All rights reserved</div></body></html>"
     pages = spark.createDataFrame([(k, f"http://x.org/{k}", page(k)) for k in range(8)], "page_id long, url string, html string")
     assert {r["text"] for r in html_extract.extract(pages).collect()} == {f"Story {k} tells of things {k * 7}." for k in range(8)}
 
 
+def _design(k, story, kind):
+    menu = "<ul class=m>" + "".join(f"<li>{w}" for w in ("home", "news", f"more{k % 5}")) + "</ul>"
+    foot = f"<p class=f>(c) all rights {k % 7} reserved by us</p>"
+    slot = {"article": ("<article>", "</article>"), "story": ("<div class=story>", "</div>"), "row": ("<table class=row><tr><td>", "</td></tr></table>")}[kind]
+    return f"<html><body>{menu}<div class=top>Buy now {k % 3}</div>{slot[0]}<p>{'</p><p>'.join(story)}</p><p class=tail>Read on in our paper</p>{slot[1]}{foot}</body></html>"
+
+
+def test_templates_decide(spark):
+    """Designs with and without an article element, several on one host; text that a class holds on all its pages falls out."""
+    rng, made = random.Random(6), []
+    say = lambda: " ".join(f"w{rng.randrange(9000)}" for _ in range(rng.randrange(3, 30)))
+    for k in range(90):
+        host, kind = ("one.org", "article") if k < 30 else ("two.org", ("story", "row")[k % 2])
+        story = [say() for _ in range(rng.randrange(1, 9))]
+        made.append((k, f"http://{host}/{k}", _design(k, story, kind), "\n".join(story)))
+    pages = spark.createDataFrame([x[:3] for x in made], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()}
+    assert got == {x[0]: x[3] for x in made}
+    assert {r["page_id"]: r["text"] for r in html_extract.extract(pages, broadcast_bytes=-1).collect()} == got
+    # Without templates the menu, the adverts and the footer would be text.
+    assert all("Buy now" in "\n".join(html_extract.blocks(x[2])) for x in made[30:])
+
+
+def test_copies_make_no_template(spark):
+    """Three copies, and three near copies, of one article are no template; a host's whole article stays."""
+    story = [f"Line {i} of a story that all pages tell in full." for i in range(6)]
+    same = [(k, f"http://a.org/{k}", _design(k, story, "article")) for k in range(3)]
+    near = [(9 + k, f"http://b.org/{k}", _design(k, [f"Odd {k}", *story], "article")) for k in range(4)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(same + near, "page_id long, url string, html string")).collect()}
+    assert all("\n".join(story) in t for t in got.values())
+
+
+def test_templates_against_plain_vectors(spark):
+    """The classes of each host from vectors held in full."""
+    pages = read(spark, DATA, "pages")
+    rows = [(r["url"], r["page_id"], r["html"]) for r in pages.collect()]
+    vector, content, mass = {}, {}, {}
+    for url, i, source in rows:
+        host = re.match(r"[^:]*://([^/?#]*)", url)[1].lower()
+        found, content[i] = html_extract.page_tokens(html_extract.read_page(source))
+        for t, (k, m) in found.items():
+            vector.setdefault((host, t), {})[i] = k
+            mass[host, t] = mass.get((host, t), 0) + m
+    vector = {x: v for x, v in vector.items() if len(v) >= 3 and len({content[i] % 64 for i in v}) >= 3}
+    classes = {}
+    for (host, t), v in vector.items():
+        classes.setdefault((host, tuple(sorted(v.items()))), []).append(t)
+    want = set()
+    for (host, v), tokens in classes.items():
+        once = all(k == 1 for _, k in v)
+        valid = len(tokens) > 1 and once and any(mass[host, t] >= 0 for t in tokens)
+        want |= {(host, t, 1 if valid else 0) if mass[host, t] >= 0 else (host, t, 2) for t in tokens if mass[host, t] >= 0 or valid}
+    hosted = html_extract.with_host(pages)
+    got = {(r["host"], r["token"] % 2**64, r["kind"]) for r in html_extract.templates(hosted).collect()}
+    assert got == want and any(k == 1 for _, _, k in want)
+
+
 def test_toxicity_on_held_out_rows(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = read(spark, d, "documents"), read(spark, d, "labels")
@@ -352,6 +414,37 @@ def test_edited_leaks(spark):
     assert {(r["doc_id"], r["item_id"]) for r in blocks} == want
 
 
+def test_seeds_against_all_alignments(spark):
+    """Every document aligned with every item, without seeds: all that counts is found, nothing else."""
+    rng = random.Random(11)
+    vocab = [f"v{k}" for k in range(300)] + ["the", "of", "and"] * 60
+    text = lambda n: [rng.choice(vocab) for _ in range(n)]
+    items = [text(n) for n in (2, 3, 4, 5, 8, 20, 40, 60, 60)]
+    docs = []
+    for k in range(150):
+        w, item = text(rng.randrange(0, 120)), rng.choice(items)
+        a = rng.randrange(len(item))
+        part = item[a : a + rng.randrange(2, 61)] if k % 3 else list(item)
+        part = [x if rng.random() > 0.1 * (k % 4) else rng.choice(vocab) for x in part]
+        docs.append((k, " ".join(w + part + text(rng.randrange(0, 30)))))
+    number = {w: i for i, w in enumerate(dict.fromkeys(vocab))}
+    want, near = set(), set()
+    for k, t in docs:
+        d = np.array([[number[x] for x in t.split()]])
+        for i, item in enumerate(items):
+            best, end = decontam.align(np.array([number[x] for x in item]), d)
+            whole = 2 * len(item) * (0.5 if len(item) >= 5 else 1)
+            if best[0] >= whole:
+                want.add((k, i))
+            elif best[0] >= 26 and len(item) >= 5:
+                back = decontam.align(np.array([number[x] for x in item[::-1]]), d[:, : end[0]][:, ::-1])[1][0]
+                (want if best[0] / (2 * back) >= 0.5 else near).add((k, i))
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")).collect()}
+    assert len(want) > 60 and got <= want | near and len(got & want) >= 0.9 * len(want)
+    long = {(k, i) for k, i in want if len(items[i]) >= 20}
+    assert len(got & long) >= 0.97 * len(long)
+
+
 def brute_near(texts):
     sets = {}
     for i, t in texts.items():
@@ -388,6 +481,28 @@ def test_near_duplicates(docs, texts, spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == brute_near(made)
 
 
+def test_near_duplicates_of_shared_ids(spark):
+    """Rows that share an id are one document with several texts, linked by any of them."""
+    t = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abc"}
+    rows = [(1, t["a"]), (5, t["a"]), (5, t["b"]), (7, t["b"]), (9, t["b"] + " word"), (11, t["c"]), (None, t["a"]), (12, None)]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in got) == [(0, 0, True), (1, 1, True), (5, 1, False), (5, 1, False), (7, 1, False), (9, 1, False), (11, 11, True), (12, 12, True)]
+
+
+def test_cells_against_all_pairs():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, (4, 60), dtype=np.uint64)
+    sets = []
+    for k in range(90):
+        own = rng.integers(0, 2**63, rng.integers(0, 25), dtype=np.uint64)
+        sets.append(np.unique(np.concatenate((rng.choice(base[k % 4], rng.integers(40, 61), replace=False), own))))
+    comp, part = np.arange(90) // 2, rng.random(90) < 0.5
+    sim = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b))
+    want = {(a, b) for a in range(90) for b in range(a + 1, 90) if comp[a] != comp[b] and sim(sets[a], sets[b])}
+    assert len(want) > 20 and set(near_dup._cell_links(sets, comp, None, 75)) == want
+    assert set(near_dup._cell_links(sets, comp, part, 75)) == {(a, b) for a, b in want if part[a] != part[b]}
+
+
 def test_signature_estimates():
     rng = np.random.default_rng(8)
     shared, own = np.unique(rng.integers(0, 2**63, 600, dtype=np.uint64)) * np.uint64(2), lambda k: rng.integers(0, 2**63, k, dtype=np.uint64) * np.uint64(2)
