@@ -1,12 +1,15 @@
 """The functions of the expression language as Column builders.
 
 A builder gets the panel's axes, its column arguments and its literal arguments.  Kinds:
-``scalar`` (no window), ``series`` (rows of a symbol), ``cross`` (rows of a time).
+``scalar`` (no window), ``series`` (rows of a symbol), ``cross`` (rows of a time), and
+``steps``: a list of builders, each of the columns before it, for windows over windows;
+the last one has none.
 ``register`` adds a function of your own.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -145,7 +148,8 @@ def _ts_zscore(ax, x, p=5):
 
 def _moments(x: Column, w, power: int, least: int) -> Column:
     f = F.skewness if power == 3 else F.kurtosis
-    return F.when((F.count(x).over(w) >= least) & (F.stddev_samp(x).over(w) > 1e-12), num(f(x).over(w)))
+    varies = F.stddev_samp(x).over(w) > 1e-12 * F.sqrt(F.avg(x * x).over(w))
+    return F.when((F.count(x).over(w) >= least) & varies, num(f(x).over(w)))
 
 
 register("TS_SKEW", "series")(lambda ax, x, p=5: _moments(x, ax.series(_int(p)), 3, 3))
@@ -195,6 +199,18 @@ def _ts_corr(ax, x, y, p=5):
     return pearson(x, y, ax.series(_int(p)))
 
 
+def corr_with(ax: Axes, x: Column, weights: list[float]) -> Column:
+    """Correlation of the last rows with fixed weights, the newest row with the last one; 0 where the rows don't vary."""
+    n, a = len(weights), F.collect_list(F.struct(x.cast("double").alias("v"))).over(ax.series(len(weights)))
+    w = F.array(*[F.lit(float(v)) for v in weights])
+    pairs = F.filter(F.transform(a, lambda s, i: F.struct(s["v"].alias("v"), F.get(w, i + n - F.size(a)).alias("w"))), lambda s: s["v"].isNotNull())
+    total = lambda f: F.aggregate(F.transform(pairs, f), F.lit(0.0), lambda t, v: t + v)
+    k = F.size(pairs)
+    mv, mw = total(lambda s: s["v"]) / k, total(lambda s: s["w"]) / k
+    cov, vv, ww = total(lambda s: (s["v"] - mv) * (s["w"] - mw)), total(lambda s: (s["v"] - mv) * (s["v"] - mv)), total(lambda s: (s["w"] - mw) * (s["w"] - mw))
+    return F.when(k >= 2, F.coalesce(F.try_divide(cov, F.sqrt(vv * ww)), F.lit(0.0)))
+
+
 @register("TS_COVARIANCE", "series", 2)
 def _ts_cov(ax, x, y, p=5):
     return F.covar_samp(*both(x, y)).over(ax.series(_int(p)))
@@ -205,21 +221,44 @@ def _pct(ax, x, p=1):
     return F.coalesce(div(x, F.lag(x, _int(p, 0)).over(ax.ordered())) - 1, F.lit(0.0))
 
 
-def _ewm(ax, x, alpha: float) -> Column:
-    """Weights (1-alpha)^age by row, over the values that are present."""
-    a = _frame(ax, x, None)
-    n, keep = F.size(a), F.lit(1.0 - alpha)
-    weight = lambda v, i: F.when(v.isNotNull(), F.pow(keep, (n - 1 - i).cast("double"))).otherwise(F.lit(0.0))
-    top = F.aggregate(F.transform(a, lambda v, i: F.coalesce(v * weight(v, i), F.lit(0.0))), F.lit(0.0), lambda s, v: s + v)
-    return div(top, F.aggregate(F.transform(a, weight), F.lit(0.0), lambda s, v: s + v))
+def _ewm(ax, x, alpha: float) -> list[Callable[..., Column]]:
+    """Weights (1-alpha)^age by row, over the values that are present, in linear time.
+
+    Running sums of x * (1-alpha)^-row stay exact as long as the powers stay in range, so
+    rows are taken in chunks of that many, and a chunk goes on from the last one that has
+    values: what lies before that weighs less than 1e-200.
+    """
+    keep = 1.0 - alpha
+    rows = max(1, int(200 * math.log(10) / -math.log(keep))) if 0 < keep < 1 else 1
+    k = F.lit(keep)
+    place = lambda r: (r - 1) % rows
+    power = lambda e: F.pow(k, e.cast("double"))
+
+    def number():
+        return F.row_number().over(ax.ordered())
+
+    def sums(r):
+        w = Window.partitionBy(*([ax.session] if ax.session else []), ax.symbol, F.floor((r - 1) / rows)).orderBy(ax.time).rowsBetween(Window.unboundedPreceding, 0)
+        x_ = x.cast("double")
+        return F.struct(F.sum(x_ * power(-place(r))).over(w).alias("top"), F.sum(F.when(x_.isNotNull(), power(-place(r)))).over(w).alias("all"))
+
+    def carried(r, s):
+        end = F.when((place(r) == rows - 1) & s["all"].isNotNull(), F.struct(r.alias("r"), (s["top"] * power(place(r))).alias("top"), (s["all"] * power(place(r))).alias("all")))
+        return F.last(end, ignorenulls=True).over(ax.series(None).rowsBetween(Window.unboundedPreceding, -1))
+
+    def value(r, s, c):
+        part = lambda n: F.coalesce(s[n] * power(place(r)), F.lit(0.0)) + F.coalesce(c[n] * power(r - c["r"]), F.lit(0.0))
+        return div(part("top"), part("all"))
+
+    return [number, sums, carried, value]
 
 
-register("EMA", "series")(lambda ax, x, p: _ewm(ax, x, 2.0 / (p + 1)))
+register("EMA", "steps")(lambda ax, x, p: _ewm(ax, x, 2.0 / (p + 1)))
 
 
-@register("SMA", "series")
+@register("SMA", "steps")
 def _sma(ax, x, m, n=None):
-    return F.avg(x).over(ax.series(_int(m))) if n is None else _ewm(ax, x, n / m)
+    return [lambda: F.avg(x).over(ax.series(_int(m))), lambda v: v] if n is None else _ewm(ax, x, n / m)
 
 
 def _weighted(a: Column, weight, total) -> Column:

@@ -60,9 +60,9 @@ def avg_rank(x: Column, part: list[str] | WindowSpec, frame_order: Column | None
 def pearson(x: Column, y: Column, spec: WindowSpec | None = None) -> Column:
     """Correlation of complete pairs, NULL for fewer than two or no variance."""
     x, y = both(x, y)
-    parts = [F.covar_samp(x, y), F.stddev_samp(x), F.stddev_samp(y)]
+    parts = [F.covar_samp(x, y), F.stddev_samp(x), F.stddev_samp(y), F.avg(x * x), F.avg(y * y)]
     if spec is not None:
         parts = [p.over(spec) for p in parts]
-    cov, sx, sy = parts
-    tiny = F.lit(1e-12)
-    return F.when((sx > tiny) & (sy > tiny), F.try_divide(cov, sx * sy))
+    cov, sx, sy, mx, my = parts
+    # No variance but for the rounding of the values' own size.
+    return F.when((sx > 1e-12 * F.sqrt(mx)) & (sy > 1e-12 * F.sqrt(my)), F.try_divide(cov, sx * sy))

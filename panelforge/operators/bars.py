@@ -25,6 +25,17 @@ def minute_of_day(hhmm: Column) -> Column:
     return (F.floor(hhmm / 100) * 60 + hhmm % 100).cast("int")
 
 
+def minute_bounds(hhmm: Column) -> tuple[Column, Column]:
+    """First nanosecond of a minute HHMM and of the next one."""
+    start = minute_of_day(hhmm).cast("bigint") * 60_000_000_000
+    return start, start + 60_000_000_000
+
+
+def minute_label(hhmm: Column) -> Column:
+    """HH:MM of HHMM."""
+    return F.format_string("%02d:%02d", F.floor(hhmm / 100).cast("int"), (hhmm % 100).cast("int"))
+
+
 def in_session(hhmm: Column, start: int = 930, end: int = 1559) -> Column:
     return hhmm.between(start, end) & (hhmm % 100 < 60)
 
@@ -51,7 +62,8 @@ def minute_bars(quotes: DataFrame, keys: list[str]) -> DataFrame:
     """Per key: first, last, max, min, mean, std of spread and mid; mean and std of imbalance."""
     cols = []
     for c, name in (("spread", "spread"), ("mid", "mid_price")):
-        made = {"first": F.min_by(c, "ns"), "last": F.max_by(c, "ns"), "max": F.max(c), "min": F.min(c), "mean": F.avg(c), "std": F.stddev_samp(c)}
+        # Ticks of one time are ordered by value.
+        made = {"first": F.min_by(c, F.struct("ns", c)), "last": F.max_by(c, F.struct("ns", c)), "max": F.max(c), "min": F.min(c), "mean": F.avg(c), "std": F.stddev_samp(c)}
         cols += [f.alias(f"{name}_{k}") for k, f in made.items()]
     return quotes.groupBy(*keys).agg(*cols, F.avg("imb").alias("imbalance_mean"), F.stddev_samp("imb").alias("imbalance_std"), F.count("*").alias("n_ticks"))
 

@@ -71,6 +71,62 @@ def compare(a: DataFrame, b: DataFrame, keys: list[str], value: str, near: float
     )
 
 
+def agreement(a: DataFrame, b: DataFrame, keys: list[str], time: list[str], value: str, least: float = 0.99) -> DataFrame:
+    """Infinite values of both tables, and mean IC and rank IC between them by time, with the verdict on those."""
+    bad = lambda c: F.count_if(F.isnan(c) | (F.abs(c) == F.lit(float("inf"))))
+    infinite = a.agg(bad(F.col(value)).alias("inf_a")).join(b.agg(bad(F.col(value)).alias("inf_b")))
+    clean = lambda t, n: t.select(*keys, F.when(~F.isnan(value) & (F.abs(F.col(value)) < F.lit(float("inf"))), F.col(value)).alias(n))
+    j = clean(a, "_a").join(clean(b, "_b"), keys).where("_a is not null and _b is not null")
+    j = j.withColumns({"_ra": double_rank(F.col("_a"), time).cast("double"), "_rb": double_rank(F.col("_b"), time).cast("double")})
+    by_time = j.groupBy(*time).agg(pearson(F.col("_a"), F.col("_b")).alias("ic"), pearson(F.col("_ra"), F.col("_rb")).alias("rankic"))
+    mean = by_time.agg(F.avg("ic").alias("ic"), F.avg("rankic").alias("rankic"))
+    return mean.join(infinite).withColumn("agrees", F.coalesce((F.col("ic") > least) & (F.col("rankic") > least), F.lit(False)))
+
+
+def versus(current: DataFrame, best: DataFrame, metrics: list[str]) -> DataFrame:
+    """(metric, current, best, bigger) of two tables of one row: which of them has more of each metric."""
+    long = lambda t, n: t.select(*[F.col(m).cast("double").alias(m) for m in metrics]).unpivot([], metrics, "metric", n)
+    j = long(current, "current").join(long(best, "best"), "metric", "full_outer")
+    more = F.when(F.col("best").isNull(), "current").when(F.col("current").isNull(), "best").when(F.col("current") > F.col("best"), "current").when(F.col("current") < F.col("best"), "best").otherwise("equal")
+    return j.withColumn("bigger", more)
+
+
+def split_report(df: DataFrame, split: str, axes: Axes, y: str, pred: str, periods: int = 39 * 252) -> DataFrame:
+    """One row a split: regression errors, IC and rank IC with their ratios, long-short return and its yearly Sharpe."""
+    inner = Axes(axes.time, axes.symbol, split)
+    g = cross_sections(df.select(*inner.keys, y, pred), inner, y, pred).groupBy(split).agg(
+        F.avg("ic").alias("ic"), div(F.avg("ic"), F.stddev_samp("ic")).alias("icir"), F.avg("rankic").alias("rankic"), div(F.avg("rankic"), F.stddev_samp("rankic")).alias("rankicir"),
+        F.avg("long_short_ret").alias("long_short_ret"), (div(F.avg("long_short_ret"), F.stddev_samp("long_short_ret")) * F.sqrt(F.lit(float(periods)))).alias("sharpe"), F.count("*").alias("n_times"),
+    )
+    d = df.where(F.col(y).isNotNull() & F.col(pred).isNotNull())
+    e = F.col(y) - F.col(pred)
+    r = d.groupBy(split).agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), (1 - div(F.avg(e * e), F.var_pop(y))).alias("r2"), F.avg((F.signum(y) == F.signum(pred)).cast("double")).alias("hit_rate"), F.count("*").alias("n"))
+    return r.join(g, split, "left")
+
+
+def pool_statistics(pool: DataFrame, groups: list[str], round_: str) -> DataFrame:
+    """Trajectories in all and by each group, and the last round, as (what, value, n)."""
+    total = pool.agg(F.count("*").alias("n")).select(F.lit("total").alias("what"), F.lit("").alias("value"), "n")
+    last = pool.agg(F.max(round_).cast("bigint").alias("n")).select(F.lit("last round").alias("what"), F.lit("").alias("value"), "n")
+    each = [pool.groupBy(F.col(g).cast("string").alias("value")).agg(F.count("*").alias("n")).select(F.lit(g).alias("what"), "value", "n") for g in groups]
+    for e in (last, *each):
+        total = total.unionByName(e)
+    return total
+
+
+def report_order(df: DataFrame, keys: list[str], phases: list[str], phase: str) -> DataFrame:
+    """Rows by ``keys``, where phases come in the order given and unknown ones last."""
+    place = F.array_position(F.array(*[F.lit(p) for p in phases]), F.col(phase))
+    at = F.when(place > 0, place).otherwise(len(phases) + 1).cast("int")
+    return df.withColumn("phase_order", at).orderBy(*["phase_order" if k == phase else k for k in keys])
+
+
+def quality_gate(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """``df`` with accepted and the names of the checks that fail; a check that is NULL fails."""
+    failed = F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in checks.items()]))
+    return df.withColumn("reasons", failed).withColumn("accepted", F.size("reasons") == 0)
+
+
 def coverage(df: DataFrame, date: str, columns: list[str]) -> DataFrame:
     """Last date of each column, and which of them end first."""
     one = df.agg(*[F.max(F.when(F.col(c).isNotNull(), F.col(date))).alias(c) for c in columns])
@@ -94,4 +150,5 @@ def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) ->
 def best_by(df: DataFrame, group: list[str], metric: str) -> DataFrame:
     """The row of the largest absolute metric; ties go to the first name."""
     rest = [c for c in df.columns if c not in group]
-    return df.groupBy(*group).agg(F.max_by(F.struct(*rest), F.abs(F.col(metric))).alias("_r")).select(*group, *[F.col(f"_r.{c}").alias(c) for c in rest])
+    # The smallest of (-metric, the other columns): ties are settled by name.
+    return df.groupBy(*group).agg(F.min(F.struct((-F.abs(F.col(metric))).alias("_m"), *rest)).alias("_r")).select(*group, *[F.col(f"_r.{c}").alias(c) for c in rest])

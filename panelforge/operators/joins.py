@@ -31,19 +31,46 @@ def pit_members(panel: DataFrame, universe: DataFrame, keys: list[str], date: Co
 
 
 def asof_backward(left: DataFrame, right: DataFrame, time: str, by: list[str], value: str) -> DataFrame:
-    """The last value of ``right`` at or before each row of ``left``: one shuffle, one window."""
+    """The last value of ``right`` at or before each row of ``left``: one shuffle, one window.
+
+    Without keys the rows are dealt by ranges of time, and each range goes on from the
+    last value before it.
+    """
     marked = left.withColumn("_left", F.lit(True)).withColumn(f"_{value}", F.lit(None).cast(right.schema[value].dataType))
     other = right.select(*by, time, F.col(value).alias(f"_{value}"), F.lit(False).alias("_left"))
     both = marked.unionByName(other, allowMissingColumns=True)
     # Rows of the right side stand before left rows of the same time.
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(time, "_left").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(value, F.last(f"_{value}", ignorenulls=True).over(w)).where("_left").select(*left.columns, value)
+    part = by or ["_part"]
+    if not by:
+        both = both.withColumn("_part", range_part(both, time))
+    w = Window.partitionBy(*part).orderBy(time, "_left").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn(value, F.last(f"_{value}", ignorenulls=True).over(w))
+    if not by:
+        # One row a range, so one task holds no more than there are ranges.
+        ends = both.where(F.col(f"_{value}").isNotNull()).groupBy("_part").agg(F.max_by(f"_{value}", time).alias("_end"))
+        ends = both.select("_part").distinct().join(ends, "_part", "left")
+        ends = ends.select("_part", F.last("_end", ignorenulls=True).over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+        found = found.join(F.broadcast(ends), "_part").withColumn(value, F.coalesce(value, "_carry"))
+    return found.where("_left").select(*left.columns, value)
+
+
+def range_part(df: DataFrame, column: str, parts: int = 64) -> Column:
+    """A number for the range a value lies in, between fixed quantiles of the column."""
+    cuts = df.agg(F.percentile_approx(column, F.array(*[F.lit(k / parts) for k in range(1, parts)]), 1000).alias("c")).first()["c"] or []
+    kind = df.schema[column].dataType
+    return reduce(lambda a, c: a + (F.col(column) > F.lit(c).cast(kind)).cast("int"), sorted(set(cuts)), F.lit(0))
 
 
 def last_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last row of each key by ``order``."""
+    """The last row of each key by ``order``; among equals the largest of the other columns, in their order."""
     rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
+    return df.groupBy(*keys).agg(F.max(F.struct(F.col(order).alias("_o"), *rest)).alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
+
+
+def last_values(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """For each key the last value that is present of every other column, by ``order``, which tells rows apart."""
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    return df.groupBy(*keys).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*order))).alias(c) for c in rest])
 
 
 def pending(wanted: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -68,6 +95,14 @@ def split_by_ratio(dates: DataFrame, date: str, train: float, valid: float) -> D
     return d.select(date, F.when(k <= a, F.lit("train")).when(k <= a + b, F.lit("valid")).otherwise(F.lit("test")).alias("split"))
 
 
+def split_two_way(dates: DataFrame, date: str, train: float) -> DataFrame:
+    """Distinct dates in order as train and valid; both have one where there are two."""
+    d = dates.select(date).distinct()
+    n = d.count()
+    a = min(max(1, int(n * train)), max(1, n - 1))
+    return d.select(date, F.when(F.row_number().over(Window.orderBy(date)) <= a, F.lit("train")).otherwise(F.lit("valid")).alias("split"))
+
+
 def expanding_folds(dates: DataFrame, date: str, specs: list[tuple[str, str, str, str]]) -> DataFrame:
     """(fold, role, date): train from month to month, a gap month, a validation month, as yyyy-MM."""
     month = F.date_format(date, "yyyy-MM")
@@ -84,6 +119,33 @@ def available_dates(tables: list[DataFrame], date: str) -> DataFrame:
     return reduce(DataFrame.intersect, [t.select(date).distinct() for t in tables])
 
 
+def any_dates(tables: list[DataFrame], date: str) -> DataFrame:
+    """Dates that some table has."""
+    return reduce(DataFrame.unionByName, [t.select(date) for t in tables]).distinct()
+
+
+def on_dates(df: DataFrame, date: str, first=None, last=None, wanted: list | None = None) -> DataFrame:
+    """Rows of a range of dates (ends included) and of a list; pushed to the scan."""
+    for test in (F.col(date) >= F.lit(first) if first is not None else None, F.col(date) <= F.lit(last) if last is not None else None, F.col(date).isin(wanted) if wanted is not None else None):
+        df = df if test is None else df.where(test)
+    return df
+
+
+def paired_days(a: DataFrame, b: DataFrame, date: str = "date") -> DataFrame:
+    """The days of both stores, in order."""
+    return a.select(date).distinct().join(b.select(date).distinct(), date).orderBy(date)
+
+
+def symbol_universe(trades: DataFrame, quotes: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct symbols that both have; NULL parts of a symbol are equal."""
+    return trades.select(*keys).intersect(quotes.select(*keys))
+
+
+def first_dates(df: DataFrame, date: str, n: int) -> DataFrame:
+    """Rows of the first ``n`` dates."""
+    return df.join(F.broadcast(df.select(date).distinct().orderBy(date).limit(n)), date, "left_semi")
+
+
 def per_group(df: DataFrame, keys: list[str], user_code, schema: str) -> DataFrame:
     """A user's pandas function on each group: a group must fit in a task, as a day of a panel does."""
     return df.groupBy(*keys).applyInPandas(user_code, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import pearson
@@ -14,6 +14,17 @@ from .backtest import double_rank
 ALPHAS = tuple(10.0**k for k in range(-4, 4))
 
 
+def _partial_gram(batches):
+    import pyarrow as pa
+
+    total = None
+    for batch in batches:
+        x = np.stack([col.to_numpy(zero_copy_only=False) for col in batch.columns])
+        total = x @ x.T if total is None else total + x @ x.T
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.ravel())], ["cell", "s"])
+
+
 @dataclass(frozen=True)
 class Moments:
     """Sums of products of the features and the label: all that any alpha needs."""
@@ -28,16 +39,22 @@ class Moments:
     def of(df: DataFrame, features: list[str], y: str) -> Moments:
         d = df.dropna(subset=[*features, y])
         cols = [*features, y]
-        means = d.agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in cols]).first()
-        if not means["n"]:
+        means = d.agg(F.count("*").alias("_rows"), *[F.avg(c).alias(c) for c in cols]).first()
+        if not means["_rows"]:
             raise ValueError("no complete rows to fit")
         c = {x: F.col(x) - F.lit(means[x]) for x in cols}
-        pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1)]
-        row = d.agg(*[F.sum(c[cols[i]] * c[cols[j]]).alias(f"s{i}_{j}") for i, j in pairs]).first()
         full = np.zeros((len(cols), len(cols)))
-        for i, j in pairs:
-            full[i, j] = full[j, i] = row[f"s{i}_{j}"]
-        return Moments(means["n"], np.array([means[x] for x in features]), means[y], full[:-1, :-1], full[:-1, -1])
+        if len(cols) <= 6:
+            pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1)]
+            row = d.agg(*[F.sum(c[cols[i]] * c[cols[j]]).alias(f"s{i}_{j}") for i, j in pairs]).first()
+            for i, j in pairs:
+                full[i, j] = full[j, i] = row[f"s{i}_{j}"]
+        else:
+            # One partial matrix a task, summed up cell by cell: columns cost no plan of their squares.
+            found = d.select(*[v.cast("double").alias(k) for k, v in c.items()]).mapInArrow(_partial_gram, "cell int, s double")
+            for r in found.groupBy("cell").agg(F.sum("s").alias("s")).collect():
+                full.flat[r["cell"]] = r["s"]
+        return Moments(means["_rows"], np.array([means[x] for x in features]), means[y], full[:-1, :-1], full[:-1, -1])
 
     def ridge(self, alpha: float) -> tuple[np.ndarray, float]:
         w = np.linalg.solve(self.gram + alpha * np.eye(len(self.xy)), self.xy)
@@ -53,28 +70,27 @@ def predict(features: list[str], weights, intercept: float) -> Column:
 
 
 def rank_ic(df: DataFrame, y: str, columns: list[str]) -> list[float]:
-    """Spearman correlation of each column with y over all rows with both.
+    """Spearman correlation of each column with y over all rows with both, for all columns in one job.
 
-    A global rank has no key to partition by: values are counted first, so what is
-    ranked in order is the distinct values.
+    A global rank has no key to partition by: values are counted first, so what is ranked
+    is the distinct values, dealt by ranges between quantiles.
     """
-    out = []
-    for c in columns:
-        d = df.where(F.col(y).isNotNull() & F.col(c).isNotNull()).select(F.col(y).alias("y"), F.col(c).alias("p"))
-        ry, rp = _global_rank(d, "y"), _global_rank(d, "p")
-        r = d.join(ry, "y").join(rp, "p").agg(pearson(F.col("r_y"), F.col("r_p")).alias("r")).first()["r"]
-        out.append(float("nan") if r is None else r)
-    return out
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("p")) for i, c in enumerate(columns)]))
+    d = df.where(F.col(y).isNotNull()).select(F.col(y).cast("double").alias("y"), each.alias("x")).select("y", "x.*").where("p is not null")
+    ranked = d.join(_global_rank(d, "y"), ["i", "y"]).join(_global_rank(d, "p"), ["i", "p"])
+    found = {r["i"]: r["r"] for r in ranked.groupBy("i").agg(pearson(F.col("r_y"), F.col("r_p")).alias("r")).collect()}
+    return [float("nan") if (r := found.get(i)) is None else r for i in range(len(columns))]
 
 
 def _global_rank(d: DataFrame, c: str, parts: int = 64) -> DataFrame:
-    """(value, average rank) through a range partitioning: counts per part, then offsets."""
-    v = d.groupBy(c).agg(F.count("*").alias("k")).repartitionByRange(parts, c).withColumn("_p", F.spark_partition_id())
-    from pyspark.sql import Window
-
-    before = v.groupBy("_p").agg(F.sum("k").alias("t")).withColumn("base", F.sum("t").over(Window.partitionBy(F.lit(0)).orderBy("_p")) - F.col("t"))
-    w = Window.partitionBy("_p").orderBy(c)
-    return v.join(F.broadcast(before.select("_p", "base")), "_p").select(c, (F.col("base") + F.sum("k").over(w) - (F.col("k") - 1) / 2.0).alias(f"r_{c}"))
+    """(i, value, average rank): counts by range, then offsets."""
+    cuts = d.groupBy("i").agg(F.percentile_approx(c, F.array(*[F.lit(k / parts) for k in range(1, parts)]), 1000).alias("cuts"))
+    v = d.groupBy("i", c).agg(F.count("*").alias("k")).join(F.broadcast(cuts), "i")  # one row a column
+    v = v.withColumn("_p", F.size(F.filter("cuts", lambda x: x < F.col(c)))).drop("cuts")
+    before = v.groupBy("i", "_p").agg(F.sum("k").alias("t"))
+    before = before.withColumn("base", F.sum("t").over(Window.partitionBy("i").orderBy("_p")) - F.col("t")).drop("t")
+    w = Window.partitionBy("i", "_p").orderBy(c)
+    return v.join(F.broadcast(before), ["i", "_p"]).select("i", c, (F.col("base") + F.sum("k").over(w) - (F.col("k") - 1) / 2.0).alias(f"r_{c}"))
 
 
 def search(train: DataFrame, valid: DataFrame, features: list[str], y: str, alphas=ALPHAS) -> list[tuple[float, float]]:
@@ -97,11 +113,75 @@ def fit(train: DataFrame, valid: DataFrame, features: list[str], y: str, alphas=
 
 def boosted_trees(df: DataFrame, features: list[str], y: str, rounds: int = 10, depth: int = 3, seed: int = 1):
     """Gradient-boosted regression trees of Spark ML on complete rows."""
-    from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    rows = VectorAssembler(inputCols=features, outputCol="features").transform(df.dropna(subset=[*features, y]))
+    rows = assembled(df, features, y)
     return GBTRegressor(featuresCol="features", labelCol=y, predictionCol="pred", maxIter=rounds, maxDepth=depth, seed=seed).fit(rows), rows
 
 
-__all__ = ["ALPHAS", "Moments", "boosted_trees", "double_rank", "fit", "predict", "rank_ic", "search"]
+def assembled(df: DataFrame, features: list[str], y: str | None = None) -> DataFrame:
+    from pyspark.ml.feature import VectorAssembler
+
+    return VectorAssembler(inputCols=features, outputCol="features").transform(df.dropna(subset=[*features, *([y] if y else [])]))
+
+
+def best_rounds(fitted, valid: DataFrame, features: list[str], y: str, patience: int = 5) -> int:
+    """Rounds after which the validation error has not fallen for ``patience`` rounds."""
+    errors = fitted.evaluateEachIteration(assembled(valid, features, y), "squared")
+    best = 0
+    for k, e in enumerate(errors):
+        if e < errors[best]:
+            best = k
+        elif k - best >= patience:
+            break
+    return best + 1
+
+
+def cross_validated_trees(df: DataFrame, folds: DataFrame, date: str, features: list[str], y: str, label: str, rounds: int = 30, patience: int = 5, **options):
+    """Rounds of each fold by early stopping on its validation dates, then a model of all rows with their median.
+
+    ``folds``: fold, role (train, gap, valid), date; ``label``: the label to fit (winsorised, say), ``y`` the plain one.
+    """
+    found = []
+    for r in folds.select("fold").distinct().orderBy("fold").collect():
+        dates = folds.where(F.col("fold") == r["fold"])
+        part = lambda role: df.join(F.broadcast(dates.where(F.col("role") == role).select(date)), date, "left_semi")  # noqa: B023, E731  dates
+        train, valid = part("train"), part("valid")
+        if train.isEmpty() or valid.isEmpty():
+            continue
+        fitted, _ = boosted_trees(train, features, label, rounds, **options)
+        found.append((r["fold"], best_rounds(fitted, valid, features, y, patience)))
+    median = int(np.median([n for _, n in found])) if found else rounds
+    return found, boosted_trees(df, features, label, max(1, median), **options)[0]
+
+
+def tune(train: DataFrame, valid: DataFrame, features: list[str], y: str, axes, grid: list[dict], fit_and_predict=None) -> list[tuple[dict, float]]:
+    """Settings and their mean rank IC by time on ``valid``, the best first; equals in the order given."""
+    from .evaluate import cross_sections
+
+    def trees(setting):
+        return boosted_trees(train, features, y, **setting)[0].transform(assembled(valid, features, y))
+
+    scored = []
+    for setting in grid:
+        r = cross_sections((fit_and_predict or trees)(setting), axes, y, "pred").agg(F.avg("rankic")).first()[0]
+        scored.append((setting, float("-inf") if r is None else r))
+    return sorted(scored, key=lambda x: -x[1])
+
+
+def lag_report(df: DataFrame, axes, features: list[str], y: str, lags: list[int], alpha: float = 10.0) -> list[tuple[int, float, float | None]]:
+    """(lag, mean rank IC, its ratio to the first lag's): features that many rows old, refitted and evaluated."""
+    from .evaluate import cross_sections
+    from .prep import lagged
+
+    out: list[tuple[int, float, float | None]] = []
+    for lag in lags:
+        old = lagged(df, axes, features, lag)
+        pred = old.withColumn("pred", predict(features, *Moments.of(old, features, y).ridge(alpha)))
+        r = cross_sections(pred, axes, y, "pred").agg(F.avg("rankic")).first()[0]
+        first = out[0][1] if out else r
+        out.append((lag, r, r / first if r is not None and first else None))
+    return out
+
+
+__all__ = ["ALPHAS", "Moments", "assembled", "best_rounds", "boosted_trees", "cross_validated_trees", "double_rank", "fit", "lag_report", "predict", "rank_ic", "search", "tune"]

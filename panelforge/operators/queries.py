@@ -252,17 +252,21 @@ def dedupe(spark, d):
     return joins.last_per_key(src.table(spark, d, "events").select("user_id", "event_type", "ts", "event_id", "value"), ["user_id", "event_type"], "ts").drop("ts")
 
 
-@query("wide_to_long", f"WITH {PANEL} SELECT CAST(dt AS DATE) AS date, 0 AS minute, 's' || sym AS ticker, price FROM p WHERE sym BETWEEN 1 AND 4")
+_NATIONS = [f"n{k}" for k in range(25)]
+
+
+@query("wide_to_long", f"WITH {PANEL} SELECT CAST(dt AS DATE) AS date, 0 AS minute, 'n' || s_nationkey AS ticker, round(avg(price), 4) AS price FROM p JOIN supplier ON sym = s_suppkey GROUP BY ALL")
 def wide(spark, d):
-    p = src.supplier_months(spark, d).where("sym between 1 and 4").withColumn("s", F.concat(F.lit("s"), "sym"))
-    return src.wide_to_long(p.groupBy("dt").pivot("s", ["s1", "s2", "s3", "s4"]).agg(F.first("price")), "dt", "price")
+    s = src.table(spark, d, "supplier").select(F.col("s_suppkey").alias("sym"), F.concat(F.lit("n"), "s_nationkey").alias("s"))
+    p = src.supplier_months(spark, d).join(s, "sym")
+    return src.wide_to_long(p.groupBy("dt").pivot("s", _NATIONS).agg(rounded(F.avg("price"), 4)), "dt", "price")
 
 
 # -- backtest --------------------------------------------------------------------------
 
 
 def _pearson(a: str, b: str) -> str:
-    return f"CASE WHEN stddev_samp({a}) > 1e-12 AND stddev_samp({b}) > 1e-12 THEN covar_samp({a}, {b}) / (stddev_samp({a}) * stddev_samp({b})) END"
+    return f"CASE WHEN stddev_samp({a}) > 1e-12 * sqrt(avg(power({a}, 2))) AND stddev_samp({b}) > 1e-12 * sqrt(avg(power({b}, 2))) THEN covar_samp({a}, {b}) / (stddev_samp({a}) * stddev_samp({b})) END"
 
 
 _R2 = lambda c: f"2 * rank() OVER (PARTITION BY dt ORDER BY {c} NULLS LAST) + count(*) OVER (PARTITION BY dt, {c}) - 1"
@@ -468,22 +472,58 @@ def _parts(spark, d):
     return p.where(F.year("dt") < 1999), p.where(F.year("dt") >= 1999)
 
 
-# One feature has a closed form that SQL can state; several are tested against a direct solution.
-@query("ridge_fit", f"WITH {PANEL}, s AS (SELECT covar_pop(x, qty) * count(*) AS xy, var_pop(qty) * count(*) AS xx, avg(x) AS my, avg(qty) AS mx FROM p WHERE x IS NOT NULL) SELECT round(xy / (xx + 10), 4) AS weight, round(my - mx * xy / (xx + 10), 2) AS intercept FROM s")
+# Three features have a closed form by Cramer's rule.
+_MOMENTS = "count(*) AS c, avg(x) AS my, avg(qty) AS m1, avg(vol) AS m2, avg(n) AS m3, " + ", ".join(
+    f"covar_pop({a}, {b}) * count(*) AS {k}" for k, a, b in (("s11", "qty", "qty"), ("s12", "qty", "vol"), ("s13", "qty", "n"), ("s22", "vol", "vol"), ("s23", "vol", "n"), ("s33", "n", "n"), ("b1", "x", "qty"), ("b2", "x", "vol"), ("b3", "x", "n"))
+)
+
+
+def _solved(rows: str, alphas: str) -> str:
+    """CTEs up to w: alpha, w1, w2, w3 and the intercept b0 of the ridge on ``rows``."""
+    return f"""mo AS (SELECT {_MOMENTS} FROM p WHERE x IS NOT NULL AND {rows}), al AS (SELECT unnest([{alphas}])::DOUBLE AS alpha),
+an AS (SELECT alpha, s11 + alpha AS a11, s12 AS a12, s13 AS a13, s22 + alpha AS a22, s23 AS a23, s33 + alpha AS a33, mo.* FROM mo, al),
+de AS (SELECT *, a11 * (a22 * a33 - a23 * a23) - a12 * (a12 * a33 - a23 * a13) + a13 * (a12 * a23 - a22 * a13) AS det FROM an),
+w0 AS (SELECT *, (b1 * (a22 * a33 - a23 * a23) - a12 * (b2 * a33 - a23 * b3) + a13 * (b2 * a23 - a22 * b3)) / det AS w1,
+ (a11 * (b2 * a33 - a23 * b3) - b1 * (a12 * a33 - a23 * a13) + a13 * (a12 * b3 - b2 * a13)) / det AS w2,
+ (a11 * (a22 * b3 - b2 * a23) - a12 * (a12 * b3 - b2 * a13) + b1 * (a12 * a23 - a22 * a13)) / det AS w3 FROM de),
+w AS (SELECT alpha, w1, w2, w3, my - m1 * w1 - m2 * w2 - m3 * w3 AS b0 FROM w0)"""
+
+
+@query("ridge_fit", f"WITH {PANEL}, {_solved('true', '10')} SELECT round(w1, 4) AS w_qty, round(w2, 4) AS w_vol, round(w3, 4) AS w_n, round(b0, 2) AS intercept FROM w")
 def ridge_fit(spark, d):
-    w, b = model.Moments.of(_xy(spark, d), ["qty"], "y").ridge(10.0)
-    return out(spark.createDataFrame([(float(w[0]), float(b))], "weight double, intercept double"), weight=4, intercept=2)
+    w, b = model.Moments.of(_xy(spark, d), _FEATURES, "y").ridge(10.0)
+    row = spark.createDataFrame([(*map(float, w), float(b))], "w_qty double, w_vol double, w_n double, intercept double")
+    return out(row, w_qty=4, w_vol=4, w_n=4, intercept=2)
 
 
-@query("ridge_alpha_search")
+@query("ridge_alpha_search", f"""WITH {PANEL}, {_solved("year(dt) < 1999", ", ".join(f"1e{k}" for k in range(-4, 4)))},
+v AS (SELECT alpha, x, b0 + w1 * qty + w2 * vol + w3 * n AS pred FROM p, w WHERE year(dt) >= 1999 AND x IS NOT NULL),
+k AS (SELECT alpha, rank() OVER (PARTITION BY alpha ORDER BY pred) + count(*) OVER (PARTITION BY alpha, pred) / 2.0 AS rp, rank() OVER (PARTITION BY alpha ORDER BY x) + count(*) OVER (PARTITION BY alpha, x) / 2.0 AS rx FROM v)
+SELECT alpha, round(corr(rp, rx), 6) AS rank_ic FROM k GROUP BY alpha""")
 def ridge_search(spark, d):
-    return spark.createDataFrame([(a, round(s, 8)) for a, s in model.search(*_parts(spark, d), _FEATURES, "y")], "alpha double, rank_ic double")
+    return out(spark.createDataFrame(model.search(*_parts(spark, d), _FEATURES, "y"), "alpha double, rank_ic double"), "alpha", rank_ic=6)
 
 
-@query("ridge_predict", f"WITH {PANEL}, s AS (SELECT covar_pop(x, qty) * count(*) AS xy, var_pop(qty) * count(*) AS xx, avg(x) AS my, avg(qty) AS mx FROM p WHERE x IS NOT NULL) SELECT dt, sym, round(my + (qty - mx) * xy / (xx + 10), 2) AS pred FROM p, s")
+@query("ridge_predict", f"WITH {PANEL}, {_solved('true', '10')} SELECT dt, sym, round(b0 + w1 * qty + w2 * vol + w3 * n, 2) AS pred FROM p, w")
 def ridge_predict(spark, d):
     p = _xy(spark, d)
-    return out(p.withColumn("pred", model.predict(["qty"], *model.Moments.of(p, ["qty"], "y").ridge(10.0))), "dt", "sym", pred=2)
+    return out(p.withColumn("pred", model.predict(_FEATURES, *model.Moments.of(p, _FEATURES, "y").ridge(10.0))), "dt", "sym", pred=2)
+
+
+def wide_features(spark, d, n: int = 37):
+    """Lineitems with ``n`` features, waves of four columns, and a label made of some of them."""
+    line = src.table(spark, d, "lineitem")
+    base_ = [F.col("l_quantity") / 50, F.col("l_extendedprice") / 1e5, F.col("l_discount") * 10, F.col("l_tax") * 10]
+    f = [F.sin(base_[k % 4] * (1 + k // 4) + k) for k in range(n)]
+    y = f[0] + 0.5 * f[5] - 0.25 * f[9] + (F.col("l_partkey") % 100) / 100.0
+    return line.select("l_shipdate", *[x.alias(f"f{k}") for k, x in enumerate(f)], y.alias("y")), [f"f{k}" for k in range(n)]
+
+
+@query("ridge_wide_search")
+def ridge_wide(spark, d):
+    rows, names = wide_features(spark, d)
+    early = F.year("l_shipdate") < 1997
+    return spark.createDataFrame([(a, round(s, 8)) for a, s in model.search(rows.where(early), rows.where(~early), names, "y")], "alpha double, rank_ic double")
 
 
 @query("gbt_predict")
@@ -541,17 +581,20 @@ def user_factor(spark, d):
 # -- vectors, graphs, expressions --------------------------------------------------------
 
 
-@query("cosine_topk", "SELECT b.vec_id, round(list_cosine_similarity(b.embedding::DOUBLE[], a.embedding::DOUBLE[]), 5) AS similarity FROM embeddings a, embeddings b WHERE a.vec_id = 0 ORDER BY list_cosine_similarity(b.embedding::DOUBLE[], a.embedding::DOUBLE[]) DESC, b.vec_id LIMIT 10")
+# The stated query set: every row whose id is divisible by 100, against all rows.
+SIMILAR = "sim AS (SELECT a.vec_id AS source, b.vec_id AS target, b.label, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS similarity FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0)"
+
+
+@query("cosine_topk", f"WITH {SIMILAR} SELECT source, target, round(similarity, 5) AS similarity, place FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY similarity DESC, target)::INT AS place FROM sim) WHERE place <= 10")
 def cosine_topk(spark, d):
     v = src.table(spark, d, "embeddings")
-    q = v.where("vec_id = 0").first()
-    return out(knowledge.top_similar(v, q["embedding"] if q else [0.0], 10), "vec_id", similarity=5)
+    return out(knowledge.top_of_each(v.where("vec_id % 100 = 0"), v, 10), "source", "target", "place", similarity=5)
 
 
-@query("cosine_matrix", "SELECT a.vec_id AS source, b.vec_id AS target, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS similarity FROM embeddings a, embeddings b WHERE a.vec_id < 5")
+@query("cosine_matrix", f"WITH {SIMILAR} SELECT source, target, round(similarity, 5) AS similarity FROM sim")
 def cosine_matrix(spark, d):
     v = src.table(spark, d, "embeddings")
-    return out(knowledge.similarity_matrix(v.where("vec_id < 5"), v), "source", "target", similarity=5)
+    return out(knowledge.similarity_matrix(v.where("vec_id % 100 = 0"), v), "source", "target", similarity=5)
 
 
 _EDGES = "e AS (SELECT 'c' || c_custkey AS a, 'n' || c_nationkey AS b FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation)"
@@ -576,37 +619,56 @@ def neighbours(spark, d):
     return knowledge.within_steps(e, start("n1"), 2).select("node").intersect(knowledge.within_steps(e, start("n2"), 2).select("node"))
 
 
-@query("edge_dedupe", "SELECT DISTINCT least(l_suppkey % 50, l_partkey % 50) AS a, greatest(l_suppkey % 50, l_partkey % 50) AS b FROM lineitem WHERE l_suppkey % 50 <> l_partkey % 50")
+@query("edge_dedupe", "SELECT DISTINCT least(l_suppkey, l_partkey) AS a, greatest(l_suppkey, l_partkey) AS b FROM lineitem WHERE l_suppkey <> l_partkey")
 def edge_dedupe(spark, d):
-    return knowledge.distinct_edges(src.table(spark, d, "lineitem").select((F.col("l_suppkey") % 50).alias("a"), (F.col("l_partkey") % 50).alias("b")))
+    return knowledge.distinct_edges(src.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")))
 
 
-@query("text_trunks", "SELECT item_id, len(range(0, length(text), 40))::INT AS n, substr(text, 1, 40) AS first FROM benchmark")
+@query("text_trunks", "SELECT item_id, k::INT AS k, substr(text, k * 40 + 1, 40) AS trunk FROM (SELECT item_id, text, unnest(range(0, (length(text) + 39) // 40)) AS k FROM benchmark)")
 def text_trunks(spark, d):
-    t = knowledge.trunks(F.col("text"), 40)
-    return src.table(spark, d, "benchmark").select("item_id", F.size(t).alias("n"), F.get(t, F.lit(0)).alias("first"))
+    return src.table(spark, d, "benchmark").select("item_id", F.posexplode(knowledge.trunks(F.col("text"), 40)).alias("k", "trunk"))
 
 
 ZOO = {
     "mom": "RANK(DELTA($price, 1) - DELTA($price, 1)) / (1e-8 + 1)", "band": "(($price - TS_MIN($price, 14)) / (TS_MAX($price, 14) - TS_MIN($price, 14) + 1e-8))",
     "sign": "(-1 * $qty) * SIGN(MEDIAN($price) - $price)", "corr": "RANK(TS_CORR($price, $qty, 10)) * SIGN(TS_MEAN($vol, 5))", "tern": "$qty > 25 && $vol > 3 ? -$price : 0.5 * $price",
 }
-#: Measures of ZOO counted by hand: nodes, numbers, distinct fields, fields.
-_ZOO_COUNTS = {"mom": (12, 4, 1, 2), "band": (15, 4, 1, 4), "sign": (9, 1, 2, 3), "corr": (10, 2, 3, 3), "tern": (13, 3, 3, 4)}
-_ZOO_SQL = "VALUES " + ", ".join(f"('{n}', '{t}', {', '.join(map(str, _ZOO_COUNTS[n]))})" for n, t in ZOO.items())
+#: Every part names an expression; the zoo's stand among them.
+_CANDIDATES = "c AS (SELECT 'p' || p_partkey AS name, CASE p_partkey % 3 WHEN 0 THEN 'TS_MEAN($price, ' || p_size || ') - $qty / ' || p_partkey WHEN 1 THEN '(-1 * DELTA($vol, ' || p_size || ')) * SIGN($qty - ' || p_partkey || ')' ELSE '$qty > ' || p_size || ' && $vol > 3 ? -$price : 0.5 * $price' END AS e FROM part UNION ALL VALUES " + ", ".join(f"('{n}', '{t}')" for n, t in ZOO.items()) + ")"
+_MEASURES = f"""{_CANDIDATES}, c1 AS (SELECT name, replace(e, ' ', '') AS s FROM c), c2 AS (SELECT *, regexp_replace(s, '(^|[(,*/+?:<>&|=-])-([0-9])', '\\1\\2', 'g') AS u FROM c1),
+c3 AS (SELECT name, length(s)::INT AS symbol_length, len(regexp_extract_all(u, '[0-9]+(\\.[0-9]+)?(e-?[0-9]+)?'))::INT AS numbers, regexp_extract_all(u, '\\$[a-z]+') AS v, len(regexp_extract_all(u, '[A-Z_]+\\('))::INT AS calls,
+ len(regexp_extract_all(regexp_replace(u, '[0-9]+(\\.[0-9]+)?(e-?[0-9]+)?', '', 'g'), '&&|[-+*/?<>]'))::INT AS ops FROM c2),
+ms AS (SELECT name, symbol_length, (numbers + len(v) + calls + ops)::INT AS nodes, numbers, len(list_distinct(v))::INT AS unique_vars, len(v)::INT AS vars FROM c3)"""
+
+
+def _candidates(spark, d):
+    part = src.table(spark, d, "part")
+    text = lambda *x: F.concat(*[F.lit(y) if y.startswith("~") is False else F.col(y[1:]).cast("string") for y in x])
+    e = F.when(F.col("p_partkey") % 3 == 0, text("TS_MEAN($price, ", "~p_size", ") - $qty / ", "~p_partkey")).when(F.col("p_partkey") % 3 == 1, text("(-1 * DELTA($vol, ", "~p_size", ")) * SIGN($qty - ", "~p_partkey", ")"))
+    e = e.otherwise(text("$qty > ", "~p_size", " && $vol > 3 ? -$price : 0.5 * $price"))
+    return part.select(F.concat(F.lit("p"), "p_partkey").alias("name"), e.alias("expression")).unionByName(_zoo(spark))
 
 
-@query("expr_metrics", f"SELECT name, length(replace(e, ' ', ''))::INT AS symbol_length, nodes, numbers, unique_vars, vars FROM ({_ZOO_SQL}) t(name, e, nodes, numbers, unique_vars, vars)")
+def _zoo(spark):
+    return spark.createDataFrame(list(ZOO.items()), "name string, expression string")
+
+
+@query("expr_metrics", f"WITH {_MEASURES} SELECT * FROM ms")
 def expr_metrics(spark, d):
-    rows = [(n, *ast.measures(parser.parse(t), t).values()) for n, t in ZOO.items()]
-    return spark.createDataFrame(rows, "name string, symbol_length int, nodes int, numbers int, unique_vars int, vars int")
+    return ast.measured(_candidates(spark, d))
+
+
+@query("expr_accepted", f"""WITH {_MEASURES}, r AS (SELECT name, concat_ws(',', CASE WHEN NOT numbers <= 0.25 * nodes THEN 'free_numbers' END, CASE WHEN NOT unique_vars <= 0.2 * nodes THEN 'unique_fields' END, CASE WHEN NOT symbol_length <= 40 THEN 'length' END, CASE WHEN NOT unique_vars <= 2 THEN 'fields' END) AS reasons FROM ms)
+SELECT name, reasons, reasons = '' AS accepted FROM r""")
+def expr_accepted(spark, d):
+    m = ast.measured(_candidates(spark, d))
+    limit = {"free_numbers": F.col("numbers") <= 0.25 * F.col("nodes"), "unique_fields": F.col("unique_vars") <= 0.2 * F.col("nodes"), "length": F.col("symbol_length") <= 40, "fields": F.col("unique_vars") <= 2}
+    return evaluate.quality_gate(m, limit).select("name", F.array_join("reasons", ",").alias("reasons"), "accepted")
 
 
 @query("expr_duplicates")
 def expr_duplicates(spark, d):
-    trees = {n: parser.parse(t) for n, t in ZOO.items()}
-    rows = [(a, b, *ast.common_subtree(x, y)) for a, x in trees.items() for b, y in trees.items() if a < b]
-    return spark.createDataFrame(rows, "a string, b string, nodes int, subtree string")
+    return ast.match_zoo(_candidates(spark, d), _zoo(spark))
 
 
 @query("factor_ids_md5", "SELECT p_partkey, substr(md5(p_name || '_' || p_type), 1, 16) AS id FROM part")
@@ -616,9 +678,14 @@ def factor_ids(spark, d):
 
 @query("stream_bars", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, round(arg_min(value, ts), 6) AS first, round(arg_max(value, ts), 6) AS last, round(max(value), 6) AS max, round(min(value), 6) AS min, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, count(*)::BIGINT AS n FROM events GROUP BY ALL")
 def stream_bars(spark, d):
-    from ..streaming.bars import streaming_bars
+    import uuid
+
+    from ..sources.sinks import shared_folder
+    from ..streaming.bars import bars_of_stream
 
-    b = streaming_bars(src.table(spark, d, "events"), "ts", "event_type", "value", "1 hour")
+    own = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    # As a pattern, a table of one file and one of a folder are both a source of files.
+    b = bars_of_stream(spark, f"{d}/[e]vents.parquet", src.table(spark, d, "events").schema, f"{own}/bars", f"{own}/checkpoint", "ts", "event_type", "value", "1 hour")
     return out(b, F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", first=6, last=6, max=6, min=6, mean=6, std=6)
 
 

@@ -146,3 +146,45 @@ def acceptable(node: Node, text: str, zoo: list[Node], max_dup: int = 8, max_fre
         if bad
     ]
     return m | {"overlap": overlap, "accepted": not reasons, "reasons": reasons}
+
+
+def match_zoo(candidates, zoo, most: int = 100_000):
+    """(name, zoo_name, nodes, subtree): the largest subtree each candidate shares with the zoo; the first name of equals.
+
+    Both are tables of name and expression; the zoo's size is checked, then it goes to the tasks.
+    """
+    import pandas as pd
+
+    from .parser import parse
+
+    known = zoo.select("name", "expression").orderBy("name").limit(most + 1).collect()
+    if len(known) > most:
+        raise ValueError(f"a zoo of more than {most} expressions")
+    known = [(r["name"], r["expression"]) for r in known]
+
+    def each(frames):
+        trees = [(n, {canonical(x): size(x) for x in parse(e).walk()}) for n, e in known]
+        for frame in frames:
+            rows = []
+            for name, text in zip(frame["name"], frame["expression"], strict=True):
+                mine = {canonical(x): size(x) for x in parse(text).walk()}
+                found = [(-k, n, t) for n, t in ((n, max(mine.keys() & z.keys(), key=lambda c: (mine[c], c), default="")) for n, z in trees) if (k := mine.get(t, 0))]
+                k, n, t = min(found, default=(0, None, ""))
+                rows.append((name, n, -k, t))
+            yield pd.DataFrame(rows, columns=["name", "zoo_name", "nodes", "subtree"])
+
+    return candidates.select("name", "expression").mapInPandas(each, "name string, zoo_name string, nodes int, subtree string")
+
+
+def measured(candidates):
+    """(name, symbol_length, nodes, numbers, unique_vars, vars) of a table of name and expression."""
+    import pandas as pd
+
+    from .parser import parse
+
+    def each(frames):
+        for frame in frames:
+            rows = [(n, *measures(parse(e), e).values()) for n, e in zip(frame["name"], frame["expression"], strict=True)]
+            yield pd.DataFrame(rows, columns=["name", "symbol_length", "nodes", "numbers", "unique_vars", "vars"])
+
+    return candidates.select("name", "expression").mapInPandas(each, "name string, symbol_length int, nodes int, numbers int, unique_vars int, vars int")

@@ -18,7 +18,7 @@ from .parser import ExpressionError, fields, parse
 #: Fields no expression may read: keys, and labels that look ahead.
 FORBIDDEN = frozenset(("ret", "log_ret", "ex_ret", "ex_log_ret", "ret_10m", "ex_ret_10m", "log_ret_10m", "ex_log_ret_10m"))
 _OPS = {"+": "ADD", "-": "SUBTRACT", "*": "MULTIPLY", "/": "DIVIDE", ">": "GT", "<": "LT", ">=": "GE", "<=": "LE", "==": "EQ", "!=": "NE", "&&": "AND", "||": "OR"}
-MAX_DEPTH = 24
+MAX_LEVELS = 24  # windows over windows: each level may sort once more
 
 
 def validate(node: Node, known: list[str], axes: Axes) -> None:
@@ -62,40 +62,49 @@ def evaluate(df: DataFrame, expressions: dict[str, str], axes: Axes = Axes()) ->
     columns: dict[str, tuple[int, Column]] = {}
     levels: dict[int, dict[str, Column]] = {}
 
-    def make(node: Node, depth: int = 0) -> tuple[int, Column]:
-        if depth > MAX_DEPTH:
-            raise ExpressionError("the expression is nested too deeply")
+    def make(node: Node) -> tuple[int, Column]:
         key = canonical(node)
         if key not in columns:
-            columns[key] = build(node, key, depth)
+            columns[key] = build(node)
+            if columns[key][0] > MAX_LEVELS:
+                raise ExpressionError(f"more than {MAX_LEVELS} windows over windows")
         return columns[key]
 
-    def build(node: Node, key: str, depth: int) -> tuple[int, Column]:
+    def build(node: Node) -> tuple[int, Column]:
         match node:
             case Number(value=v):
                 return 0, F.lit(v).cast("double")
             case Var(name=name):
                 return 0, F.col(f"_f_{name}")
             case Unary(arg=a):
-                level, x = make(a, depth + 1)
+                level, x = make(a)
                 return level, -x.cast("double")
             case Cond(test=t, then=a, other=b):
-                return make(Call("WHERE", (t, a, b)), depth)
+                return make(Call("WHERE", (t, a, b)))
             case Binary(op=op, left=a, right=b):
-                return make(Call(_OPS[op], (a, b)), depth)
+                return make(Call(_OPS[op], (a, b)))
         f, args, rest = _function(node)
-        made = [make(a, depth + 1) for a in args]
+        made = [make(a) for a in args]
         level = max((m[0] for m in made), default=0)
         value = f.build(axes, *[m[1] for m in made], *rest)
         if f.kind == "scalar":
             return level, value
+        if f.kind == "steps":
+            *steps, final = value
+            seen: list[Column] = []
+            for step in steps:
+                level += 1
+                name = f"_w{len(columns)}_{level}"
+                levels.setdefault(level, {})[name] = step(*seen)
+                seen.append(F.col(name))
+            return level, final(*seen)
         name = f"_w{len(columns)}_{level + 1}"
-        levels.setdefault(level + 1, {})[name] = (value, [m[1] for m in made])
+        levels.setdefault(level + 1, {})[name] = value
         return level + 1, F.col(name)
 
     outputs = {name: make(tree) for name, tree in trees.items()}
     used = sorted({n for t in trees.values() for n in fields(t)})
     plan = df.select(*axes.keys, *[num(F.col(c).cast("double")).alias(f"_f_{c}") for c in used])
     for level in sorted(levels):
-        plan = plan.withColumns({name: value for name, (value, _) in levels[level].items()})
+        plan = plan.withColumns(levels[level])
     return plan.select(*axes.keys, *[c.alias(name) for name, (_, c) in outputs.items()])

@@ -88,6 +88,40 @@ def read_feather(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(pyarrow.feather.read_table(path).to_pandas())
 
 
+def detect(df: DataFrame) -> dict[str, str | None]:
+    """What a table is: long (all KEYS) or wide (a time column and tickers), and its time column."""
+    if is_long(df):
+        return {"layout": "long", "time": "date"}
+    time = next((c for c in df.columns if c.lower() in ("datetime", "time", "timestamp", "date")), None)
+    time = time or next((f.name for f in df.schema.fields if f.dataType.typeName() in ("timestamp", "timestamp_ntz", "date")), None)
+    return {"layout": "wide" if time else "unknown", "time": time}
+
+
+def open_table(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, str | None]]:
+    """A parquet file or folder, or an Arrow file, and what it is."""
+    df = read_feather(spark, path) if path.endswith((".feather", ".arrow")) else spark.read.option("mergeSchema", "true").parquet(path)
+    return df, detect(df) | {"format": "feather" if path.endswith((".feather", ".arrow")) else "parquet"}
+
+
+def list_days(df: DataFrame, date: str = "date") -> DataFrame:
+    """The days of a store, in order; of a partitioned one only folders are read."""
+    return df.select(canonical_date(F.col(date)).alias("date")).distinct().orderBy("date")
+
+
+def with_panel_keys(df: DataFrame) -> DataFrame:
+    """Adds stock_code and datetime to a long panel: ticker, and date with the minute HHMM filled up to four digits."""
+    text = F.concat(F.date_format(canonical_date(F.col("date")), "yyyyMMdd"), F.lpad(F.col("minute").cast("string"), 4, "0"))
+    return df.withColumns({"stock_code": ticker(), "datetime": F.to_timestamp_ntz(text, F.lit("yyyyMMddHHmm"))})
+
+
+def read_summary(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV of research results, which must have a column ``factor``."""
+    df = spark.read.option("header", "true").option("inferSchema", "true").csv(path)
+    if "factor" not in df.columns:
+        raise ValueError(f"{path} has no column factor")
+    return df
+
+
 def wide_to_long(df: DataFrame, time: str, value: str) -> DataFrame:
     """One column a ticker to rows of date, minute (HHMM), ticker."""
     long = df.unpivot(time, [c for c in df.columns if c != time], "ticker", value)
@@ -119,6 +153,17 @@ class FeatureCatalog:
         own = [c for c in self.panel.columns if c not in self.keys] if self.panel is not None else []
         return list(dict.fromkeys([*self.features, *own]))
 
+    def for_expression(self, expression: str) -> DataFrame:
+        """The keys and the fields that an expression reads."""
+        from ..plans.parser import fields, parse
+
+        return self.load(list(dict.fromkeys(fields(parse(expression)))))
+
+    @staticmethod
+    def merged(*names: list[str]) -> list[str]:
+        """Names of several registries in order, once each, without blanks."""
+        return list(dict.fromkeys(n.strip() for part in names for n in part if n and n.strip()))
+
     def load(self, names: list[str]) -> DataFrame:
         """Full outer join of the fields on the keys; one scan for all that the panel owns."""
         if unknown := [n for n in names if n not in self.fields()]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -15,10 +15,30 @@ def streaming_bars(ticks: DataFrame, time: str, symbol: str, value: str, width:
     return g.select(F.col("w.start").alias("start"), symbol, "first", "last", "max", "min", "mean", "std", "n")
 
 
+def bars_of_stream(spark: SparkSession, path: str, schema: str, sink: str, checkpoint: str, time: str, symbol: str, value: str, width: str, late: str = "2 minutes") -> DataFrame:
+    """Bars of all files of ``path`` by a stream that runs until it has read them; its last state is what counts."""
+    # Watermarks need an instant: a time without zone is read in the session's.
+    ticks = spark.readStream.schema(schema).parquet(path).withColumn(time, F.col(time).cast("timestamp"))
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/state={number}")
+
+    run = streaming_bars(ticks, time, symbol, value, width, late).writeStream.outputMode("complete").foreachBatch(each)
+    query = run.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    last = query.lastProgress
+    number = last["batchId"] if last else 0
+    return spark.read.parquet(f"{sink}/state={number}")
+
+
 def incremental_days(ticks: DataFrame, sink: str, checkpoint: str, transform) -> None:
-    """Process what a file source has not given yet, once: ``transform`` maps each batch, written by date."""
+    """Process what a file source has not given yet, once: ``transform`` maps each batch, written by date.
+
+    A batch's folders carry its number, so a batch that is tried again replaces itself.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
-        transform(batch).write.mode("append").partitionBy("date").parquet(sink)
+        out = transform(batch).withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        out.partitionBy("date", "batch").parquet(sink)
 
     ticks.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -209,3 +209,99 @@ def test_streaming_equals_batch(spark, tmp_path):
     for _ in range(2):
         incremental_days(s, str(tmp_path / "out"), str(tmp_path / "state"), lambda b: b.withColumn("date", F.to_date("ts")))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 60
+
+
+def test_moments_of_a_feature_named_n(spark):
+    from panelforge.operators.model import Moments
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 8))
+    y = x @ np.arange(8) + rng.normal(size=200)
+    names = ["n", *(f"f{k}" for k in range(7))]
+    df = spark.createDataFrame(pd.DataFrame(np.column_stack([x, y]), columns=[*names, "y"]))
+    for k in (2, 8):  # columns in a plan, and partial matrices
+        m = Moments.of(df, names[:k], "y")
+        c = x[:, :k] - x[:, :k].mean(0)
+        np.testing.assert_allclose(m.ridge(3.0)[0], np.linalg.solve(c.T @ c + 3 * np.eye(k), c.T @ (y - y.mean())), rtol=1e-9)
+        assert m.n == 200
+
+
+def test_rank_ic_of_several_columns(spark):
+    from panelforge.operators.model import rank_ic
+
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"y": rng.integers(0, 50, 700).astype(float), "a": rng.normal(size=700), "b": rng.integers(0, 5, 700).astype(float)})
+    pdf["a"] += pdf["y"] / 20
+    pdf.loc[::7, "b"] = np.nan
+    got = rank_ic(spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "y double, a double, b double"), "y", ["a", "b"])
+    want = [pdf[["y", c]].dropna().rank().corr().iloc[0, 1] for c in ("a", "b")]
+    np.testing.assert_allclose(got, want, rtol=1e-9)
+
+
+def test_long_series_and_sums(spark):
+    """EMA over more rows than a chunk holds, with holes; a sum of many terms."""
+    from panelforge.functions.windows import Axes
+    from panelforge.plans.compiler import evaluate
+
+    rng = np.random.default_rng(0)
+    v = rng.normal(size=900)
+    v[rng.random(900) < 0.3] = np.nan
+    pdf = pd.DataFrame({"dt": range(900), "sym": 1, "x": v})
+    got = evaluate(spark.createDataFrame(pdf), {"a": "EMA($x, 1.5)", "b": "SMA($x, 5, 2)", "c": "$x" + " + $x" * 40}, Axes("dt", "sym")).toPandas().sort_values("dt")
+    for c, keep in (("a", 0.2), ("b", 0.6)):
+        top = total = 0.0
+        want = []
+        for x in v:
+            top, total = top * keep + (x if x == x else 0), total * keep + (x == x)
+            want.append(top / total if total else np.nan)
+        np.testing.assert_allclose(got[c].astype(float), want, rtol=1e-12)
+    np.testing.assert_allclose(got["c"].astype(float), 41 * v)
+
+
+def test_asof_without_keys(spark):
+    from panelforge.operators.joins import asof_backward
+
+    rng = np.random.default_rng(1)
+    left, right = sorted(rng.integers(0, 5000, 400).tolist()), {int(t): float(i) for i, t in enumerate(rng.choice(5000, 90, replace=False))}
+    got = asof_backward(spark.createDataFrame([(t,) for t in left], "t long"), spark.createDataFrame(list(right.items()), "t long, v double"), "t", [], "v").collect()
+    want = sorted((t, right[max(k for k in right if k <= t)] if any(k <= t for k in right) else None) for t in left)
+    assert sorted((r["t"], r["v"]) for r in got) == want
+
+
+def test_fixed_weight_correlation(spark):
+    from panelforge.functions.registry import corr_with
+    from panelforge.functions.windows import Axes
+
+    v = [1.0, 4.0, None, 2.0, 8.0, 8.0, 8.0, 8.0]
+    df = spark.createDataFrame([(i, 1, x) for i, x in enumerate(v)], "dt int, sym int, x double")
+    got = [r["c"] for r in df.select("dt", corr_with(Axes("dt", "sym"), F.col("x"), [1.0, 2.0, 4.0]).alias("c")).orderBy("dt").collect()]
+    want = [np.corrcoef([8.0, 2.0], [4.0, 2.0])[0, 1]]
+    assert got[0] is None and got[1] == pytest.approx(1.0) and got[4] == pytest.approx(want[0]) and got[6] == 0 == got[7]
+
+
+def test_layouts_and_model_files(spark, tmp_path):
+    from panelforge.sources import panel as src
+    from panelforge.sources.sinks import read_model, write_model
+
+    spark.sql("select date'2025-01-02' date, 'A' sym_root, '' sym_suffix, 931 minute, 1.0 v").write.parquet(str(tmp_path / "long"))
+    spark.sql("select timestamp_ntz'2025-01-02 09:31:00' Datetime, 1.0 A").write.parquet(str(tmp_path / "wide"))
+    assert src.open_table(spark, str(tmp_path / "long"))[1] == {"layout": "long", "time": "date", "format": "parquet"}
+    assert src.open_table(spark, str(tmp_path / "wide"))[1] == {"layout": "wide", "time": "Datetime", "format": "parquet"}
+    assert src.FeatureCatalog.merged(["a", " b"], ["b", "", "c"]) == ["a", "b", "c"]
+    (tmp_path / "s.csv").write_text("factor,ic\na,0.1\n")
+    assert src.read_summary(spark, str(tmp_path / "s.csv")).first()["factor"] == "a"
+    write_model(spark, str(tmp_path / "m"), {"a": 0.5, "b": -2.0}, {"alpha": "10"})
+    assert read_model(spark, str(tmp_path / "m")) == ({"b": -2.0, "a": 0.5}, {"alpha": "10"})
+
+
+def test_batches_tried_again_replace_themselves(spark, tmp_path):
+    """A lost commit makes the stream give its batch again."""
+    import shutil
+
+    from panelforge.streaming.bars import incremental_days
+
+    spark.sql("select date'2025-01-02' date, id from range(5)").write.parquet(str(tmp_path / "in"))
+    for _ in range(2):
+        incremental_days(spark.readStream.schema("date date, id long").parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "check"), lambda b: b)
+        shutil.rmtree(tmp_path / "check" / "commits")
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 5
