@@ -160,7 +160,8 @@ def _fit(rows: DataFrame, groups: DataFrame, limit: str) -> DataFrame:
 
 def _step(rows: DataFrame, groups: DataFrame, h: float) -> DataFrame:
     cuts = rows.join(groups, _KEYS).withColumn("_d", _distance(_M, _L)).groupBy(*_KEYS, "_start").agg(F.percentile_approx("_d", h, 1000).alias("_cut"))
-    return _fit(rows, cuts.join(groups, [*_KEYS, "_start"]), "_cut")
+    # Written, the cuts are a table of known size, so rows meet them where they are read.
+    return _fit(rows, materialise(cuts.join(groups, [*_KEYS, "_start"]), "mcd-cut"), "_cut")
 
 
 def _least_determinant(rows: DataFrame, h: float) -> DataFrame:
