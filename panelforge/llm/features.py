@@ -76,7 +76,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     the bound, so they are broadcast.
     """
     chosen = labels.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id", *[c for c in labels.columns if c != "doc_id"]).limit(most)
-    return docs.select(*[c for c in ("doc_id", "text", "n_chars") if c in docs.columns]).join(F.broadcast(chosen), "doc_id")
+    found = docs.select(*[c for c in ("doc_id", "text", "n_chars") if c in docs.columns]).join(F.broadcast(chosen.distinct()), "doc_id")
+    # One row a label: of rows that share an id the first by text, so the sample stays within the bound.
+    rest = [c for c in found.columns if c not in chosen.columns]
+    return found.groupBy(*chosen.columns).agg(F.min(F.struct(*rest)).alias("_r")).select(*chosen.columns, "_r.*")
 
 
 def collect_features(sample: DataFrame, label: str, bits: int, prefixes: tuple[int, ...] = (), with_dense: bool = True):

@@ -109,6 +109,7 @@ def _strength_sql(spread: str, size: str, degrees: str, above: str) -> str:
 _LONG = ", ".join(f"'{x}'" for x in url_filter.LONG_SUFFIXES)
 _FITS = [(a, t, *t.partition("/")[::2]) for a, t in sorted(url_filter.RULES, key=lambda r: (-len(r[1]), r[0] != "block"))]
 _CASE = lambda out: "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{q}') THEN '{(a, t)[out]}'" for a, t, h, q in _FITS) + " END"
+_log_t = lambda s: f"(CASE WHEN {s} >= 0 THEN -ln(1 + exp(-{s})) ELSE {s} - ln(1 + exp({s})) END)"
 OP6_SQL = rf"""
 WITH r AS (SELECT page_id, url, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{url_filter.UPPER}', '{url_filter.LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
@@ -133,7 +134,16 @@ k3 AS (SELECT *, {_strength_sql("hs", "(total - hq - hk)", "hk", "kd")} AS kh FR
 b1 AS (SELECT h.*, dn, ds, m, ku, kd, kh, (us - ds + ku * m) / (un - dn + ku) AS m1 FROM h JOIN d USING (domain, suffix) JOIN u USING (suffix), k3),
 b2 AS (SELECT *, (ds - s + kd * m1) / (dn - n + kd) AS m2 FROM b1),
 b3 AS (SELECT host, n, s, s + kh * m2 AS a, n - s + kh * (1 - m2) AS b FROM b2),
-b AS (SELECT host, n::BIGINT AS host_labelled, s::BIGINT AS host_good, a / (a + b) AS reputation, a / (a + b) + 1.645 * sqrt(greatest(a * b, 0) / ((a + b) * (a + b) * (a + b + 1))) AS upper_bound FROM b3)
+q0 AS (SELECT host, greatest(a, 1e-3) AS a, greatest(b, 1e-3) AS b FROM b3),
+q1 AS (SELECT *, ln(a / b) AS peak, sqrt(1 / a + 1 / b) AS width, least(sqrt(1 / a + 1 / b), 1) AS sc FROM q0),
+qr AS (SELECT *, asinh((8 * width + 40 / least(a, b)) / sc) AS reach FROM q1),
+q2 AS (SELECT *, 2 * reach / {url_filter.NODES} AS step, k * (2 * reach / {url_filter.NODES}) - reach AS u FROM qr, range({url_filter.NODES + 1}) r(k)),
+q3 AS (SELECT *, peak + sc * sinh(u) AS t FROM q2),
+q4 AS (SELECT host, k, u, step, reach, peak, sc, exp((a + b) * {_log_t("t")} - b * t - ((a + b) * {_log_t("peak")} - b * peak)) * cosh(u) AS w FROM q3),
+q5 AS (SELECT *, coalesce((w + lag(w) OVER (PARTITION BY host ORDER BY k)) / 2, 0) AS part FROM q4),
+q6 AS (SELECT *, sum(part) OVER (PARTITION BY host ORDER BY k) AS run, sum(part) OVER (PARTITION BY host) AS total FROM q5),
+q7 AS (SELECT host, any_value(peak) AS peak, any_value(sc) AS sc, coalesce(arg_min(u - step + step * (0.95 * total - (run - part)) / part, k) FILTER (k > 0 AND run >= 0.95 * total), any_value(reach)) AS u FROM q6 GROUP BY host),
+b AS (SELECT host, n::BIGINT AS host_labelled, s::BIGINT AS host_good, b3.a / (b3.a + b3.b) AS reputation, 1 / (1 + exp(-(peak + sc * sinh(u)))) AS upper_bound FROM b3 JOIN q7 USING (host))
 SELECT page_id, p.host, path, {_CASE(1)} AS rule, coalesce({_CASE(0)}, CASE WHEN upper_bound < 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
  host_labelled, host_good, round(reputation, 6) AS reputation, round(upper_bound, 6) AS upper_bound FROM p JOIN b ON p.host = b.host
 """.replace("(host = ", "(p.host = ").replace("ends_with(host,", "ends_with(p.host,")

@@ -4,14 +4,16 @@ DataFrame functions only.  Outcomes of labelled pages (1 good, 0 bad) are counte
 host; each level of host, registered domain, suffix is shrunk toward the level above
 through a beta-binomial prior whose strength comes from the variance between its
 members (method of moments).  A page without a rule is blocked if the upper posterior
-bound of its host's share of good pages lies below ``floor``.
+bound of its host's share of good pages, a quantile of its beta posterior, lies below
+``floor``.
 
 Counts are summed before any join, so a host with a third of all pages is one row.
 
 Defined results: a null url or one without ``://`` has an empty host and path, which
 form a host of their own.  Null outcomes don't count.  Without any outcome everything
-unruled is allowed.  Repeated pages are judged one by one; empty tables give empty
-results.
+unruled is allowed.  Repeated pages, and pages without an id, are judged one by one; of
+equally long rules that fit, a blocking one counts; a very long url is read whole; other
+columns are not read; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 #: (action, host and path): a rule fits its host and all subdomains below its path.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -43,10 +47,10 @@ def rule_of(rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def _levels() -> tuple[Column, Column]:
+def _levels(suffixes) -> tuple[Column, Column]:
     labels = F.split("host", "\\.")
     two = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".")
-    long = two.isin(*LONG_SUFFIXES)
+    long = two.isin(*suffixes)
     take = lambda k: F.array_join(F.slice(labels, F.greatest(F.size(labels) - F.lit(k - 1), F.lit(1)), k), ".")
     return F.when(long, take(3)).otherwise(take(2)), F.when(long, take(2)).otherwise(take(1))
 
@@ -62,11 +66,46 @@ def _strength(row, s: str, n: str, sq: str, k: str, above: float) -> float:
     return min(MAX_STRENGTH, max(MIN_STRENGTH, 1 / share - 1)) if share > 0 else MAX_STRENGTH
 
 
-def host_reputation(outcomes: DataFrame, hosts: DataFrame, z: float = 1.645) -> DataFrame:
+#: Nodes of the posterior's integral.
+NODES = 192
+
+
+def beta_quantile(a: Column, b: Column, p: float) -> Column:
+    """Quantile ``p`` of a beta distribution, by the trapezoid rule over the logit.
+
+    On that scale the density has no poles and falls off exponentially on both sides, so
+    nodes that spread like sinh about its peak, as close there as the density is narrow
+    and as far out as its tails are long, cover it for any a, b of 0.001 and more (smaller
+    ones are taken as that).
+    """
+    a, b = F.greatest(a, F.lit(1e-3)), F.greatest(b, F.lit(1e-3))
+    peak, width = F.log(a / b), F.sqrt(1 / a + 1 / b)
+    scale = F.least(width, F.lit(1.0))
+    reach = F.asinh((8 * width + 40 / F.least(a, b)) / scale)
+    step = 2 * reach / NODES
+    log_t = lambda s: F.when(s >= 0, -F.log1p(F.exp(-s))).otherwise(s - F.log1p(F.exp(F.least(s, F.lit(0.0)))))
+    height = lambda s: (a + b) * log_t(s) - b * s
+    weight = lambda u: F.exp(height(peak + scale * F.sinh(u)) - height(peak)) * F.cosh(u)
+    nodes = F.transform(F.sequence(F.lit(0), F.lit(NODES)), lambda k: weight(k * step - reach))
+    total = F.aggregate(nodes, F.lit(0.0), lambda s, w: s + w) - (F.element_at(nodes, 1) + F.element_at(nodes, NODES + 1)) / 2
+    start = F.struct(F.lit(0.0).alias("sum"), F.element_at(nodes, 1).alias("last"), F.lit(None).cast("double").alias("u"), (-reach).alias("at"))
+
+    def walk(s, w):
+        part = (s["last"] + w) / 2
+        here = F.when(s["u"].isNull() & (s["sum"] + part >= F.lit(p) * total), s["at"] + step * (F.lit(p) * total - s["sum"]) / part).otherwise(s["u"])
+        return F.struct((s["sum"] + part).alias("sum"), w.alias("last"), here.alias("u"), (s["at"] + step).alias("at"))
+
+    u = F.coalesce(F.aggregate(F.slice(nodes, 2, NODES), start, walk)["u"], reach)
+    return 1 / (1 + F.exp(-(peak + scale * F.sinh(u))))
+
+
+def host_reputation(outcomes: DataFrame, hosts: DataFrame, level: float = 0.95, suffixes=LONG_SUFFIXES) -> DataFrame:
     """Posterior of each host: ``outcomes`` has host and good (0, 1, null), ``hosts`` distinct hosts."""
-    domain, suffix = _levels()
+    domain, suffix = _levels(suffixes)
     h = hosts.join(outcomes.where(F.col("good").isNotNull()).groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("good").cast("long")).alias("s")), "host", "left")
     h = h.select("host", domain.alias("domain"), suffix.alias("suffix"), F.coalesce("n", F.lit(0)).cast("double").alias("n"), F.coalesce("s", F.lit(0)).cast("double").alias("s"))
+    # One row a host, written once: all that follows reads that table, not the pages.
+    h = materialise(h, "hosts")
     d = h.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("s").alias("ds"), F.count_if(F.col("n") > 0).alias("dk"), F.sum(F.col("n") * F.col("n")).alias("dsq"))
     u = d.groupBy("suffix").agg(F.sum("dn").alias("un"), F.sum("ds").alias("us"), F.count_if(F.col("dn") > 0).alias("uk"), F.sum(F.col("dn") * F.col("dn")).alias("usq"))
 
@@ -97,11 +136,10 @@ def host_reputation(outcomes: DataFrame, hosts: DataFrame, z: float = 1.645) ->
     out = all_.withColumn("m1", m1).withColumn("m2", m2)
     a, b = F.col("s") + F.lit(kh) * F.col("m2"), F.col("n") - F.col("s") + F.lit(kh) * (1 - F.col("m2"))
     out = out.withColumns({"_a": a, "_b": b}).withColumn("reputation", F.col("_a") / (F.col("_a") + F.col("_b")))
-    sd = F.sqrt(F.greatest(F.col("_a") * F.col("_b"), F.lit(0.0)) / ((F.col("_a") + F.col("_b")) * (F.col("_a") + F.col("_b")) * (F.col("_a") + F.col("_b") + 1)))
-    return out.select("host", "domain", "suffix", F.col("n").cast("long").alias("host_labelled"), F.col("s").cast("long").alias("host_good"), "reputation", (F.col("reputation") + F.lit(z) * sd).alias("upper_bound"))
+    return out.select("host", "domain", "suffix", F.col("n").cast("long").alias("host_labelled"), F.col("s").cast("long").alias("host_good"), "reputation", beta_quantile(F.col("_a"), F.col("_b"), level).alias("upper_bound"))
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, floor: float = 0.5, z: float = 1.645) -> DataFrame:
+def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, floor: float = 0.5, level: float = 0.95, suffixes=LONG_SUFFIXES) -> DataFrame:
     """Every row of ``pages`` (page_id, url) with host, path, rule, verdict and the host's posterior.
 
     ``outcomes``: page urls with a column ``good``.
@@ -109,7 +147,7 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, floor: float
     ruled = with_host(pages.select("page_id", "url"))
     rule, verdict = rule_of(rules)
     ruled = ruled.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("_ruled"))
-    known = host_reputation(with_host(outcomes.select("url", "good")).select("host", "good"), ruled.select("host").distinct(), z)
+    known = host_reputation(with_host(outcomes.select("url", "good")).select("host", "good"), ruled.select("host").distinct(), level, suffixes)
     out = ruled.join(known, "host", "left")
     own = F.when(F.col("upper_bound") < floor, F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", "rule", F.coalesce("_ruled", own).alias("verdict"), "host_labelled", "host_good", "reputation", "upper_bound")

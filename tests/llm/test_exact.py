@@ -583,6 +583,17 @@ def em(p, a, rounds=60):
     return a / a.sum()
 
 
+def test_beta_quantiles(spark):
+    from panelforge.llm.url_filter import beta_quantile
+
+    rng = np.random.default_rng(2)
+    cases = [(1.0, 1.0), (0.5, 0.5), (0.05, 3.0), (30.0, 2.0), (500.0, 400.0), (2.0, 0.1), (1e-3, 5.0)]
+    got = spark.createDataFrame(cases, "a double, b double").select("a", "b", beta_quantile(F.col("a"), F.col("b"), 0.95).alias("q")).collect()
+    for r in got:
+        want = np.quantile(rng.beta(r["a"], r["b"], 400_000), 0.95)
+        assert r["q"] == pytest.approx(want, abs=0.006)
+
+
 def test_reputation_blocks_bad_hosts(spark):
     from panelforge.llm.url_filter import filter_urls
 
@@ -606,13 +617,45 @@ def test_pipeline(spark, docs):
             assert out.columns == docs.columns
         seen.append((name, {r["doc_id"]: r["text"] for r in frame.collect()}, out))
         frame = out
+    # Quality: the score of each text from the fitted machine, feature by feature.
+    _, before, after = seen[0]
+    chars = {r["doc_id"]: r["n_chars"] for r in docs.collect()}
+    m = fm.fit(docs, read(spark, DATA, "labels").where(common.crc_of_id() % 4 != 2))
+    score = {r["doc_id"]: r["score"] for r in fm.quality_scores(docs, read(spark, DATA, "labels")).collect()}
+    assert {r["doc_id"] for r in after.collect()} == {i for i in before if score[i] >= 0.7}
+    for i, t in list(before.items())[:40]:
+        bounds, keys = fm.bag(pa.array([t or ""]), m.bits)
+        d = (fm.dense(pa.array([t or ""]), np.array([float(len(t or ""))])) - m.mean) / m.scale
+        x = np.concatenate((np.zeros(1 << m.bits), d[0]))
+        x[keys] = 1 / math.sqrt(max(len(keys), 1))
+        some = np.flatnonzero(x)
+        pairs = sum(float(m.v[a] @ m.v[b]) * x[a] * x[b] for k, a in enumerate(some) for b in some[:k]) if len(some) < 150 else None
+        if pairs is not None:
+            assert score[i] == pytest.approx(1 / (1 + math.exp(-(m.w0 + m.w @ x + pairs))), abs=1e-6)
+    _, before, after = seen[2]
+    first, n = {}, 13
+    for i in sorted(before):
+        for k in range(len(words(before[i])) - n + 1):
+            first.setdefault(tuple(words(before[i])[k : k + n]), i)
+    for r in after.collect():
+        w = words(before[r["doc_id"]])
+        gone = {k + j for k in range(len(w) - n + 1) if first[tuple(w[k : k + n])] < r["doc_id"] for j in range(n)}
+        assert words(r["text"]) == [x for k, x in enumerate(w) if k not in gone]
     _, before, after = seen[1]
     near = brute_near(before)
     assert {r["doc_id"] for r in after.collect()} == {i for i in before if near[i][1] == i}
     _, before, after = seen[3]
     items = [words(r["text"]) for r in read(spark, DATA, "benchmark").collect()]
     held = {i for i, t in before.items() for x in items if " ".join(x) in " ".join(words(t))}
-    assert not held & {r["doc_id"] for r in after.collect()}
+    stay = {r["doc_id"] for r in after.collect()}
+    assert not held & stay
+    # What goes has an item's passage of 13 words' worth, or half an item, by plain alignment.
+    fold = lambda t: re.sub(r"[!-/:-@\[-`{-~]", " ", lower(t)).split()
+    for i in before.keys() - stay:
+        number = {w: k for k, w in enumerate(dict.fromkeys(w for x in items for w in fold(" ".join(x))))}
+        d = np.array([[number.get(w, -1) for w in fold(before[i])]])
+        best = [(int(decontam.align(np.array([number[w] for w in fold(" ".join(x))]), d)[0][0]), len(fold(" ".join(x)))) for x in items]
+        assert any(b >= min(k, 26) for b, k in best)
     t = bpe.tokenizer(bpe.default_path())
     _, before, after = seen[4]
     for r in after.collect():
