@@ -4,6 +4,12 @@ Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept a
 returns the columns of documents; the last one returns token ids.  Its result is the
 next one's input, written between them, so lineage is cut there and lost executors cost
 one stage at most.
+
+Defined results: null and empty texts are scored as empty ones, so the first stage drops
+them; rows without a doc_id, and those that share one, are judged row by row, but near
+duplicates of one id go together; a very long text is one row like any other; ties go as
+each stage's operator states; columns beside those of documents, whatever their names,
+pass through to the last stage; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -48,7 +54,7 @@ STAGES = [
     ("BPE encoding and decoding", tokens),
 ]
 
-#: No SQL has the trained scores of the first stage; tests compare with a brute-force version.
+#: No SQL has the trained scores of the first stage: each stage is tested against a brute-force version on its own input.
 ORACLE_SQL = None
 
 
