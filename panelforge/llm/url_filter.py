@@ -87,15 +87,19 @@ def beta_quantile(a: Column, b: Column, p: float) -> Column:
     height = lambda s: (a + b) * log_t(s) - b * s
     weight = lambda u: F.exp(height(peak + scale * F.sinh(u)) - height(peak)) * F.cosh(u)
     nodes = F.transform(F.sequence(F.lit(0), F.lit(NODES)), lambda k: weight(k * step - reach))
-    total = F.aggregate(nodes, F.lit(0.0), lambda s, w: s + w) - (F.element_at(nodes, 1) + F.element_at(nodes, NODES + 1)) / 2
-    start = F.struct(F.lit(0.0).alias("sum"), F.element_at(nodes, 1).alias("last"), F.lit(None).cast("double").alias("u"), (-reach).alias("at"))
 
     def walk(s, w):
         part = (s["last"] + w) / 2
-        here = F.when(s["u"].isNull() & (s["sum"] + part >= F.lit(p) * total), s["at"] + step * (F.lit(p) * total - s["sum"]) / part).otherwise(s["u"])
-        return F.struct((s["sum"] + part).alias("sum"), w.alias("last"), here.alias("u"), (s["at"] + step).alias("at"))
+        here = F.when(s["u"].isNull() & (s["sum"] + part >= s["goal"]), s["at"] + s["step"] * (s["goal"] - s["sum"]) / part).otherwise(s["u"])
+        return F.struct((s["sum"] + part).alias("sum"), w.alias("last"), here.alias("u"), (s["at"] + s["step"]).alias("at"), s["step"].alias("step"), s["goal"].alias("goal"))
 
-    u = F.coalesce(F.aggregate(F.slice(nodes, 2, NODES), start, walk)["u"], reach)
+    def place(n):
+        total = F.aggregate(n, F.lit(0.0), lambda s, w: s + w) - (F.element_at(n, 1) + F.element_at(n, NODES + 1)) / 2
+        start = F.struct(F.lit(0.0).alias("sum"), F.element_at(n, 1).alias("last"), F.lit(None).cast("double").alias("u"), (-reach).alias("at"), step.alias("step"), (F.lit(p) * total).alias("goal"))
+        return F.aggregate(F.slice(n, 2, NODES), start, walk)["u"]
+
+    # In a lambda of its own the nodes are one value, computed once a row.
+    u = F.coalesce(F.element_at(F.transform(F.array(nodes), place), 1), reach)
     return 1 / (1 + F.exp(-(peak + scale * F.sinh(u))))
 
 
@@ -148,6 +152,7 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, floor: float
     rule, verdict = rule_of(rules)
     ruled = ruled.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("_ruled"))
     known = host_reputation(with_host(outcomes.select("url", "good")).select("host", "good"), ruled.select("host").distinct(), level, suffixes)
-    out = ruled.join(known, "host", "left")
+    # Written: one posterior a host, not one a page.
+    out = ruled.join(materialise(known, "posteriors"), "host", "left")
     own = F.when(F.col("upper_bound") < floor, F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", "rule", F.coalesce("_ruled", own).alias("verdict"), "host_labelled", "host_good", "reputation", "upper_bound")
