@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .operators import queries as operators
-from .operators import report_queries  # noqa: F401  registers its own
+from .operators import report_queries, source_queries  # noqa: F401  register their own
 from .plans import dsl_queries
 
 QUERIES = {**dsl_queries.QUERIES, **operators.QUERIES}
