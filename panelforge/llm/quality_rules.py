@@ -84,15 +84,16 @@ def _vector() -> list[Column]:
     return [c.alias(name) for c, name in zip(made, VECTOR, strict=True)]
 
 
-def _distance(centre: list[str], factor: list[list[str]]) -> Column:
-    """Squared Mahalanobis distance by forward substitution with a Cholesky factor."""
-    z: list[Column] = []
+def _distance() -> Column:
+    """Squared Mahalanobis distance to the centre _M by forward substitution with the Cholesky factor _L.
+
+    One SQL text: built from columns, a step's expressions are thousands of calls to the JVM.
+    """
+    z: list[str] = []
     for i, name in enumerate(VECTOR):
-        rest = F.col(name) - F.col(centre[i])
-        for k in range(i):
-            rest = rest - F.col(factor[i][k]) * z[k]
-        z.append(rest / F.col(factor[i][i]))
-    return sum((x * x for x in z[1:]), z[0] * z[0])
+        rest = "".join(f" - l{i}{k} * {z[k]}" for k in range(i))
+        z.append(f"(({name} - m{i}{rest}) / l{i}{i})")
+    return F.expr(" + ".join(f"{x} * {x}" for x in z))
 
 
 _P = len(VECTOR)
@@ -104,14 +105,11 @@ _ESTIMATE = [*_KEYS, "_start", "n", "_det", *_M, *_FLAT]
 
 
 def _cholesky(groups: DataFrame) -> DataFrame:
-    """Columns l<i><k> from the covariances c<i><k>, one column after another."""
-    for i in range(_P):
-        for k in range(i + 1):
-            rest = F.col(f"c{i}{k}")
-            for j in range(k):
-                rest = rest - F.col(f"l{i}{j}") * F.col(f"l{k}{j}")
-            value = F.sqrt(F.greatest(rest, F.lit(1e-6))) if i == k else rest / F.col(f"l{k}{k}")
-            groups = groups.withColumn(f"l{i}{k}", value)
+    """Columns l<i><k> from the covariances c<i><k>, one column of the factor after another."""
+    for k in range(_P):
+        rest = [f"(c{i}{k}" + "".join(f" - l{i}{j} * l{k}{j}" for j in range(k)) + ")" for i in range(k, _P)]
+        root = f"sqrt(greatest({rest[0]}, 1e-6D))"
+        groups = groups.selectExpr("*", f"{root} AS l{k}{k}", *[f"{rest[i - k]} / {root} AS l{i}{k}" for i in range(k + 1, _P)])
     return groups
 
 
@@ -145,21 +143,20 @@ def _starts(rows: DataFrame) -> DataFrame:
 
 def _fit(rows: DataFrame, groups: DataFrame, limit: str) -> DataFrame:
     """The estimates of the rows at most ``limit`` from ``groups``; _before is the log determinant of those."""
-    names, floors = list(VECTOR), list(VECTOR.values())
-    centred = [F.col(c) - F.col(m) for c, m in zip(names, _M, strict=True)]  # about the last centre: no cancellation
-    inside = rows.join(groups, _KEYS).withColumn("_d", _distance(_M, _L)).where(F.col("_d") <= F.col(limit))
-    sums = [F.avg(centred[i]).alias(f"a{i}") for i in range(_P)] + [F.avg(centred[i] * centred[k]).alias(f"b{i}{k}") for i in range(_P) for k in range(i + 1)]
-    made = inside.groupBy(*_KEYS, "_start").agg(F.max("n").alias("n"), F.max("_det").alias("_before"), *[F.max(m).alias(m) for m in _M], *sums)
-    cov = [
-        (F.col(f"b{i}{k}") - F.col(f"a{i}") * F.col(f"a{k}") + (F.lit(floors[i] ** 2) if i == k else F.lit(0.0))).alias(f"c{i}{k}") for i in range(_P) for k in range(i + 1)
-    ]
-    made = made.select(*_KEYS, "_start", "n", "_before", *[(F.col(f"m{i}") + F.col(f"a{i}")).alias(f"m{i}") for i in range(_P)], *cov)
-    det = sum((2 * F.log(F.col(f"l{i}{i}")) for i in range(1, _P)), 2 * F.log(F.col("l00")))
-    return materialise(_cholesky(made).withColumn("_det", det).select(*_ESTIMATE, "_before"), "mcd-step")
+    floors, lower = list(VECTOR.values()), [(i, k) for i in range(_P) for k in range(i + 1)]
+    inside = rows.join(groups, _KEYS).withColumn("_d", _distance()).where(F.col("_d") <= F.col(limit))
+    centred = [f"({name} - m{i})" for i, name in enumerate(VECTOR)]  # about the last centre: no cancellation
+    sums = [f"avg({centred[i]}) AS a{i}" for i in range(_P)] + [f"avg({centred[i]} * {centred[k]}) AS b{i}{k}" for i, k in lower]
+    kept = ["max(n) AS n", "max(_det) AS _before", *[f"max({m}) AS {m}" for m in _M]]
+    made = inside.groupBy(*_KEYS, "_start").agg(*[F.expr(x) for x in kept + sums])
+    cov = [f"b{i}{k} - a{i} * a{k} + {floors[i] ** 2 if i == k else 0.0!r}D AS c{i}{k}" for i, k in lower]
+    made = made.selectExpr(*_KEYS, "_start", "n", "_before", *[f"m{i} + a{i} AS m{i}" for i in range(_P)], *cov)
+    det = " + ".join(f"2 * ln(l{i}{i})" for i in range(_P))
+    return materialise(_cholesky(made).withColumn("_det", F.expr(det)).select(*_ESTIMATE, "_before"), "mcd-step")
 
 
 def _step(rows: DataFrame, groups: DataFrame, h: float) -> DataFrame:
-    cuts = rows.join(groups, _KEYS).withColumn("_d", _distance(_M, _L)).groupBy(*_KEYS, "_start").agg(F.percentile_approx("_d", h, 1000).alias("_cut"))
+    cuts = rows.join(groups, _KEYS).withColumn("_d", _distance()).groupBy(*_KEYS, "_start").agg(F.percentile_approx("_d", h, 1000).alias("_cut"))
     # Written, the cuts are a table of known size, so rows meet them where they are read.
     return _fit(rows, materialise(cuts.join(groups, [*_KEYS, "_start"]), "mcd-cut"), "_cut")
 
@@ -180,7 +177,7 @@ def _least_determinant(rows: DataFrame, h: float) -> DataFrame:
 def _scaled(rows: DataFrame, groups: DataFrame, most: float) -> DataFrame:
     """``groups`` with _scale; the floors make the scatter wider than the core's: distances are scaled down, never up."""
     quantiles = F.percentile_approx("_d", F.array(F.lit(0.5), F.lit(most)), 1000).alias("_q")
-    found = rows.join(groups, _KEYS).withColumn("_d", _distance(_M, _L)).groupBy(*_KEYS).agg(quantiles).join(groups, _KEYS)
+    found = rows.join(groups, _KEYS).withColumn("_d", _distance()).groupBy(*_KEYS).agg(quantiles).join(groups, _KEYS)
     scale = F.greatest(F.col("_q")[0] / F.lit(CHI2_MEDIAN), F.lit(1.0))
     return materialise(found.select(*_ESTIMATE, scale.alias("_scale"), F.least(F.col("_q")[1], F.lit(REWEIGHT) * scale).alias("_near")), "mcd-scale")
 
@@ -208,7 +205,7 @@ def robust_outliers(stats: DataFrame, steps: int = 3, h: float = 0.55, most: flo
     for _ in range(steps):
         groups = _scaled(use, _fit(use, groups, "_near").drop("_before"), most)
     groups = groups.where(F.col("n") >= min_group).select(*_KEYS, *_M, *_FLAT, "_scale")
-    out = rows.join(groups, _KEYS, "left").withColumn("distance", F.when(F.col("usable"), _distance(_M, _L) / F.col("_scale")))
+    out = rows.join(groups, _KEYS, "left").withColumn("distance", F.when(F.col("usable"), _distance() / F.col("_scale")))
     return out.select(*stats.columns, "distance", F.coalesce(F.col("distance") > cut, F.lit(False)).alias("outlier"))
 
 
