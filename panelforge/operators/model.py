@@ -5,24 +5,63 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.windows import pearson
 from .backtest import double_rank
+from .ranks import spearman
 
 ALPHAS = tuple(10.0**k for k in range(-4, 4))
 
 
-def _partial_gram(batches):
+def _joined(parts):
+    """(rows, means, centred products) of all parts of (rows, means, centred products)."""
+    n, mean, gram = 0, None, None
+    for k, m, g in parts:
+        if n:
+            step = m - mean
+            mean, gram = mean + step * (k / (n + k)), gram + g + np.outer(step, step) * (n * (k / (n + k)))
+        else:
+            mean, gram = m, g
+        n += k
+    return n, mean, gram
+
+
+def _as_batch(key: int, n: int, mean: np.ndarray, gram: np.ndarray):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([n], pa.int64()), pa.array([mean.tobytes()], pa.binary()), pa.array([gram.tobytes()], pa.binary())], ["key", "n", "mean", "gram"])
+
+
+def _from_rows(ns, means, grams):
+    for n, m, g in zip(ns, means, grams, strict=True):
+        m = np.frombuffer(m)
+        yield n, m, np.frombuffer(g).reshape(len(m), len(m))
+
+
+def _task_sums(batches):
+    """One row a task: its rows, means and products about them, in one pass."""
+    from pyspark import TaskContext
+
+    def parts():
+        for batch in batches:
+            x = np.stack([col.to_numpy(zero_copy_only=False) for col in batch.columns])
+            x = x[:, ~np.isnan(x).any(axis=0)]  # NULL is NaN here: complete rows only
+            if x.shape[1]:
+                m = x.mean(axis=1)
+                x = x - m[:, None]
+                yield x.shape[1], m, x @ x.T
+
+    n, mean, gram = _joined(parts())
+    if n:
+        yield _as_batch(TaskContext.get().partitionId() // 64, n, mean, gram)
+
+
+def _merged_sums(table):
+    """The sums of some tasks as one row."""
     import pyarrow as pa
 
-    total = None
-    for batch in batches:
-        x = np.stack([col.to_numpy(zero_copy_only=False) for col in batch.columns])
-        total = x @ x.T if total is None else total + x @ x.T
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.ravel())], ["cell", "s"])
+    return pa.Table.from_batches([_as_batch(table.column("key")[0].as_py(), *_joined(_from_rows(*[table.column(c).to_pylist() for c in ("n", "mean", "gram")])))])
 
 
 @dataclass(frozen=True)
@@ -37,23 +76,25 @@ class Moments:
 
     @staticmethod
     def of(df: DataFrame, features: list[str], y: str) -> Moments:
-        d = df.dropna(subset=[*features, y])
         cols = [*features, y]
+        if len(cols) > 6:
+            # One pass, one matrix a task, joined by 64 tasks: columns cost no plan of their squares or holes.
+            sums = df.select(*[F.col(x).cast("double").alias(f"c{i}") for i, x in enumerate(cols)]).mapInArrow(_task_sums, "key int, n long, mean binary, gram binary")
+            found = sorted(sums.groupBy("key").applyInArrow(_merged_sums, "key int, n long, mean binary, gram binary").collect(), key=lambda r: r["key"])
+            if not found:
+                raise ValueError("no complete rows to fit")
+            n, mean, full = _joined(_from_rows(*zip(*[(r["n"], r["mean"], r["gram"]) for r in found], strict=True)))
+            return Moments(n, mean[:-1], float(mean[-1]), full[:-1, :-1], full[:-1, -1])
+        d = df.dropna(subset=cols)
         means = d.agg(F.count("*").alias("_rows"), *[F.avg(c).alias(c) for c in cols]).first()
         if not means["_rows"]:
             raise ValueError("no complete rows to fit")
         c = {x: F.col(x) - F.lit(means[x]) for x in cols}
         full = np.zeros((len(cols), len(cols)))
-        if len(cols) <= 6:
-            pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1)]
-            row = d.agg(*[F.sum(c[cols[i]] * c[cols[j]]).alias(f"s{i}_{j}") for i, j in pairs]).first()
-            for i, j in pairs:
-                full[i, j] = full[j, i] = row[f"s{i}_{j}"]
-        else:
-            # One partial matrix a task, summed up cell by cell: columns cost no plan of their squares.
-            found = d.select(*[v.cast("double").alias(k) for k, v in c.items()]).mapInArrow(_partial_gram, "cell int, s double")
-            for r in found.groupBy("cell").agg(F.sum("s").alias("s")).collect():
-                full.flat[r["cell"]] = r["s"]
+        pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1)]
+        row = d.agg(*[F.sum(c[cols[i]] * c[cols[j]]).alias(f"s{i}_{j}") for i, j in pairs]).first()
+        for i, j in pairs:
+            full[i, j] = full[j, i] = row[f"s{i}_{j}"]
         return Moments(means["_rows"], np.array([means[x] for x in features]), means[y], full[:-1, :-1], full[:-1, -1])
 
     def ridge(self, alpha: float) -> tuple[np.ndarray, float]:
@@ -70,34 +111,33 @@ def predict(features: list[str], weights, intercept: float) -> Column:
 
 
 def rank_ic(df: DataFrame, y: str, columns: list[str]) -> list[float]:
-    """Spearman correlation of each column with y over all rows with both, for all columns in one job.
-
-    A global rank has no key to partition by: values are counted first, so what is ranked
-    is the distinct values, dealt by ranges between quantiles.
-    """
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("p")) for i, c in enumerate(columns)]))
-    d = df.where(F.col(y).isNotNull()).select(F.col(y).cast("double").alias("y"), each.alias("x")).select("y", "x.*").where("p is not null")
-    ranked = d.join(_global_rank(d, "y"), ["i", "y"]).join(_global_rank(d, "p"), ["i", "p"])
-    found = {r["i"]: r["r"] for r in ranked.groupBy("i").agg(pearson(F.col("r_y"), F.col("r_p")).alias("r")).collect()}
-    return [float("nan") if (r := found.get(i)) is None else r for i in range(len(columns))]
-
-
-def _global_rank(d: DataFrame, c: str, parts: int = 64) -> DataFrame:
-    """(i, value, average rank): counts by range, then offsets."""
-    cuts = d.groupBy("i").agg(F.percentile_approx(c, F.array(*[F.lit(k / parts) for k in range(1, parts)]), 1000).alias("cuts"))
-    v = d.groupBy("i", c).agg(F.count("*").alias("k")).join(F.broadcast(cuts), "i")  # one row a column
-    v = v.withColumn("_p", F.size(F.filter("cuts", lambda x: x < F.col(c)))).drop("cuts")
-    before = v.groupBy("i", "_p").agg(F.sum("k").alias("t"))
-    before = before.withColumn("base", F.sum("t").over(Window.partitionBy("i").orderBy("_p")) - F.col("t")).drop("t")
-    w = Window.partitionBy("i", "_p").orderBy(c)
-    return v.join(F.broadcast(before), ["i", "_p"]).select("i", c, (F.col("base") + F.sum("k").over(w) - (F.col("k") - 1) / 2.0).alias(f"r_{c}"))
+    """Spearman correlation of each column with y over all rows with both, for all columns at once."""
+    return spearman(df, y, columns)
 
 
 def search(train: DataFrame, valid: DataFrame, features: list[str], y: str, alphas=ALPHAS) -> list[tuple[float, float]]:
     """(alpha, rank IC on valid); one set of sums serves all."""
     m = Moments.of(train, features, y)
-    scored = valid.select(y, *[predict(features, *m.ridge(a)).alias(f"p{i}") for i, a in enumerate(alphas)])
-    return list(zip(alphas, rank_ic(scored, y, [f"p{i}" for i in range(len(alphas))]), strict=True))
+    models = [m.ridge(a) for a in alphas]
+
+    def predictions(batch):
+        """y and each model's ``predict``, summed in its order."""
+        import pyarrow as pa
+
+        x = [c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]]
+        holes = np.zeros(batch.num_rows, dtype=bool)
+        for c in batch.columns[1:]:
+            if c.null_count:
+                holes |= ~np.array(c.is_valid())
+        out = [batch.column(0)]
+        for weights, intercept in models:
+            p = np.full(batch.num_rows, float(intercept))
+            for w, v in zip(weights, x, strict=True):
+                p += float(w) * v
+            out.append(pa.array(p, mask=holes))
+        return out
+
+    return list(zip(alphas, spearman(valid, y, features, predictions, len(models)), strict=True))
 
 
 def fit(train: DataFrame, valid: DataFrame, features: list[str], y: str, alphas=ALPHAS) -> tuple[float, np.ndarray, float]:

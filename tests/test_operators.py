@@ -305,3 +305,49 @@ def test_batches_tried_again_replace_themselves(spark, tmp_path):
         incremental_days(spark.readStream.schema("date date, id long").parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "check"), lambda b: b)
         shutil.rmtree(tmp_path / "check" / "commits")
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+
+
+def test_search_computes_features_once(spark):
+    """One pass over each part, however many alphas there are and whatever a feature costs."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 7))
+    y = x @ np.arange(7) + rng.normal(size=300)
+    names = [f"f{k}" for k in range(7)]
+    rows = spark.createDataFrame(pd.DataFrame(np.column_stack([x, y]), columns=[*names, "y"])).withColumn("part", F.monotonically_increasing_id() % 3)
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def costly(v):
+        seen.add(1)
+        return v
+
+    wide = rows.withColumn("f0", costly.asNondeterministic()("f0"))
+    found = dict(model.search(wide.where("part > 0").drop("part"), wide.where("part = 0").drop("part"), names, "y"))
+    assert seen.value <= 2 * 300  # each part's filter may come behind the feature
+    pdf = rows.toPandas()
+    train, valid = pdf[pdf.part > 0], pdf[pdf.part == 0]
+    c, t = train[names] - train[names].mean(), train.y - train.y.mean()
+    for alpha, r in found.items():
+        w = np.linalg.solve(c.T @ c + alpha * np.eye(7), c.T @ t)
+        assert r == pytest.approx(np.corrcoef((valid[names] @ w).rank(), valid.y.rank())[0, 1])
+
+
+def test_spearman_over_many_blocks_and_ranges(spark):
+    from panelforge.operators.ranks import spearman
+
+    rng = np.random.default_rng(9)
+    n = 3000
+    pdf = pd.DataFrame({"y": rng.integers(0, 40, n) / 4 - 5, "a": rng.normal(size=n), "b": rng.integers(-3, 3, n).astype(float), "c": np.where(rng.random(n) < 0.9, 1.0, rng.normal(size=n)), "same": 2.0, "none": np.nan})
+    pdf["a"] += pdf["y"] / 5
+    pdf.loc[::7, "b"] = np.nan
+    pdf.loc[::11, "c"] = np.nan
+    pdf.loc[::13, "y"] = np.nan
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), ", ".join(f"{c} double" for c in pdf.columns)).repartition(5)
+    got = spearman(df, "y", ["a", "b", "c", "same", "none"], block_rows=600, range_rows=90)
+    want = [pdf[["y", c]].dropna().rank().corr().iloc[0, 1] for c in ("a", "b", "c")]
+    np.testing.assert_allclose(got[:3], want, rtol=1e-9)
+    assert np.isnan(got[3:]).all() and np.isnan(spearman(df.where("a > 99"), "y", ["a", "b"])).all()
+    # NaN is a value, the largest; -0.0 equals 0.0
+    odd = spark.createDataFrame([(1.0, 0.0), (2.0, -0.0), (3.0, float("inf")), (4.0, float("nan")), (5.0, float("nan")), (0.5, -float("inf"))], "y double, p double")
+    assert spearman(odd, "y", ["p"])[0] == pytest.approx(np.corrcoef([2, 3, 4, 5, 6, 1], [2.5, 2.5, 4, 5.5, 5.5, 1])[0, 1])
