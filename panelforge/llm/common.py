@@ -52,6 +52,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few_files(df: DataFrame) -> DataFrame:
+    """``df``, the result of an aggregation, for writing: eight of its partitions a file, but four files a core at least.
+
+    On a file system without native calls each part file costs several processes forked from the executor.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.coalesce(max(4 * spark.sparkContext.defaultParallelism, parts // 8))
+
+
 def crc_of_id(column: str = "doc_id") -> Column:
     """crc32 of the id as text."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import few_files, materialise
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -29,11 +29,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes of ``edges`` (u, v); a component is named by its smallest node, which has no row."""
-    current = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "edges")
+    current = materialise(few_files(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct()), "edges")
     # Done once no node is both a member and a centre, and every member has one centre.
     while True:
         ends = current.groupBy("u").agg(F.count("*").alias("k"))
         deep = current.select(F.col("v").alias("u")).distinct().withColumn("k", F.lit(1).cast("bigint"))
         if ends.unionByName(deep).groupBy("u").agg(F.sum("k").alias("k")).where("k > 1").isEmpty():
             return current.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        current = materialise(_small_star(_large_star(current)), "edges")
+        current = materialise(few_files(_small_star(_large_star(current))), "edges")

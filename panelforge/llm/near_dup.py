@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, materialise, mix, pack, pieces, unpack, windows
+from .common import U64, Words, few_files, materialise, mix, pack, pieces, unpack, windows
 from .components import components
 
 BINS, ROWS = 128, 4
@@ -253,10 +253,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, broadcast_ids: int = 4_0
     """doc_id, n_shingles, component_id, kept for every row with a text or without."""
     rows = materialise(_summaries(docs), "summaries")
     # Written first: a join with the plain table can be split where one class has very many rows.
-    classes = materialise(rows.where("n_shingles > 0").groupBy("key", "n_shingles").agg(F.min("doc_id").alias("rep")), "sets")
+    classes = materialise(few_files(rows.where("n_shingles > 0").groupBy("key", "n_shingles").agg(F.min("doc_id").alias("rep"))), "sets")
     known = materialise(rows.where("n_shingles > 0").select("doc_id", "key", "n_shingles").join(classes, ["key", "n_shingles"]).select("doc_id", "rep"), "classes")
     reps = known.where("doc_id = rep").select("doc_id").distinct()
-    reps = materialise(rows.where("n_shingles > 0").join(reps, "doc_id", "left_semi").select("doc_id", "sig").distinct(), "representatives")
+    reps = materialise(few_files(rows.where("n_shingles > 0").join(reps, "doc_id", "left_semi").select("doc_id", "sig").distinct()), "representatives")
     # Rows that share an id are one document with several texts: their classes are linked.
     spread = known.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("top")).where("u != top")
     twins = materialise(known.join(spread, "doc_id").where("rep != u").select("u", F.col("rep").alias("v")).distinct(), "twins")
@@ -267,7 +267,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, broadcast_ids: int = 4_0
     meets = members.groupBy("doc_id").agg(F.sum("n").alias("meets"))
     centre = members.join(meets, "doc_id").groupBy("bucket").agg(F.max(F.struct("meets", (-F.col("doc_id")).alias("low"))).alias("top")).select("bucket", (-F.col("top.low")).alias("u"))
     edges = members.join(centre, "bucket").where("u != doc_id").groupBy("u", F.col("doc_id").alias("v")).agg(F.count("*").alias("bands"))
-    edges = materialise(edges, "candidates")
+    edges = materialise(few_files(edges), "candidates")
     sets = _sets(docs, members.select("doc_id").distinct(), broadcast_ids)
 
     links = _confirm(edges, sets, percent).unionByName(twins)
@@ -299,4 +299,4 @@ def near_duplicates(docs: DataFrame, percent: int = 75, broadcast_ids: int = 4_0
 def one_of_each(docs: DataFrame, percent: int = 75, broadcast_ids: int = 4_000_000) -> DataFrame:
     """``docs`` without the rows that are not their component's smallest document."""
     gone = near_duplicates(docs, percent, broadcast_ids).where("not kept").select("doc_id").distinct()
-    return without_ids(docs, materialise(gone, "duplicates"), broadcast_ids)
+    return without_ids(docs, materialise(few_files(gone), "duplicates"), broadcast_ids)

@@ -1,5 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, clashing columns."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,3 +126,24 @@ def test_scores(docs):
     got = {r["doc_id"]: r for r in lm.lm_scores(docs, block_bytes=50_000).collect()}
     assert got[1]["n_tokens"] == 1 and got[4]["n_tokens"] == 60_001 and all(r["score"] < 0 for r in got.values())
     assert lm.lm_scores(docs.limit(0)).count() == 0
+
+
+def test_near_dup_tables_of_aggregates_have_few_files(spark):
+    """Links as without it, in fewer part files than there are partitions."""
+    rows = [(k, " ".join(f"w{k // 2 if j < 28 else k}x{j}" for j in range(30))) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    there = set(shared.iterdir())
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        found = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert found == {k: k // 2 * 2 for k in range(400)}
+    files = {p.name.rsplit("-", 1)[0]: len(list(p.glob("part-*"))) for p in set(shared.iterdir()) - there}
+    most = 4 * spark.sparkContext.defaultParallelism
+    assert all(0 < files[name] <= most for name in ("sets", "representatives", "candidates", "edges")), files
